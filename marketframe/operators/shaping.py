@@ -14,13 +14,15 @@ from ..schemas import COMPANY_SCHEMA, POINT_SCHEMA, PRICE_SCHEMA
 #: More metric names than a table can sensibly have columns.
 MAX_METRIC_COLUMNS = 5_000
 
-_POINT_DDL = "ts bigint, value double, interval bigint, valueUnit string"
+_POINTS_DDL = "array<struct<ts: bigint, value: double, interval: bigint, valueUnit: string>>"
 
 
 def object_points(points: Column) -> Column:
-    """Typed price points from an array of JSON texts; elements that are not objects vanish."""
-    objects = F.filter(points, lambda e: e.rlike(r"^\s*\{"))
-    return F.transform(objects, lambda e: F.from_json(e, _POINT_DDL))
+    """Typed price points from an array of JSON texts; elements that are not objects vanish. The
+    objects are parsed in one go, and a value of the wrong type is null in its own field only."""
+    objects = F.filter(points, lambda e: F.ltrim(e).startswith("{"))
+    listed = F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))
+    return F.from_json(listed, _POINTS_DDL)
 
 
 def typed_companies(documents: DataFrame) -> DataFrame:
