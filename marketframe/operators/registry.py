@@ -38,11 +38,13 @@ def number_rows(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
 
 
 def new_requests(mapping: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requested tickers not yet registered, each once, at the place of its first request."""
+    """Requested tickers not yet registered, each once, at the place of its first request. Repeats
+    are folded on the map side before anything is joined."""
     wanted = requests.select("pos", canonical_ticker(F.col("ticker")).alias("ticker"), "name")
-    fresh = wanted.join(mapping.select("ticker").distinct(), "ticker", "left_anti")
-    first = fresh.groupBy("ticker").agg(
-        F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name")
+    first = (
+        wanted.groupBy("ticker")
+        .agg(F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"))
+        .join(mapping.select("ticker").distinct(), "ticker", "left_anti")
     )
     return first.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "ticker"))
 

@@ -1,14 +1,16 @@
 """Price series in order, with no task holding a whole hot ticker.
 
 Points are ordered by ``(ts NULLS FIRST, pos)`` within a ticker. A ticker that holds more than
-``hot_rows`` points is cut into time segments; every window runs within ``(ticker, segment)`` and
-takes what came before the segment (count, maximum, last value) from a small carry table. Cold
-tickers form a single segment, so the common case costs one exchange, as a plain window would.
-
-Both small tables have a bound that does not depend on the data: a ticker counts as hot only above
-``max(hot_rows, total / MAX_HOT)`` points, so there are at most ``MAX_HOT`` hot tickers, and a
-segment is wide enough for ``threshold / SPREAD`` points on average, so there are at most
-``2 * SPREAD * MAX_HOT`` segments. That is what makes broadcasting them safe.
+``hot_rows`` points is cut into time segments, and a segment that is still too full (points crowd
+together in time, or have no time at all) is cut once more. Every window runs within
+``(ticker, segment, part)`` and takes what came before (count, maximum, last value) from a small
+carry table. Cold tickers form a single segment, so the common case costs one exchange, as a plain
+window would.
+
+The small tables have a bound that does not depend on the data: a ticker or segment counts as too
+full only above ``max(hot_rows, total / MAX_HOT)`` points, so there are at most ``MAX_HOT`` of either,
+and pieces are wide enough for ``threshold / SPREAD`` points on average, so there are at most
+``2 * (SPREAD + 1) * MAX_HOT`` pieces. That is what makes broadcasting them safe.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from pyspark.sql import functions as F
 
 #: Points of one ticker that a single task may hold before the ticker is cut.
 HOT_ROWS = 2_000_000
-#: Upper bound on the number of hot tickers.
+#: Upper bound on the number of hot tickers, and of segments to be cut again.
 MAX_HOT = 10_000
-#: Segments are this much narrower than the threshold asks, to absorb uneven spacing in time.
+#: Pieces are this much narrower than the threshold asks, to absorb uneven spacing.
 SPREAD = 4
-#: A tail longer than this is taken segment by segment.
+#: A tail longer than this is taken piece by piece.
 SHORT_TAIL = 1_000
-# Points without a time come first: their segments are numbered far below zero.
-_UNTIMED = -(1 << 40)
+
+_PIECE = ["ticker", "segment", "part"]
 
 
 def oldest_first() -> list[Column]:
@@ -36,76 +38,105 @@ def latest_first() -> list[Column]:
     return [F.col("ts").desc_nulls_last(), F.col("pos").desc_nulls_last()]
 
 
-def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Tickers above the threshold with the origin and width of their segments."""
-    sizes = prices.groupBy("ticker").agg(
+def _threshold(prices: DataFrame, hot_rows: int) -> Column:
+    share = prices.select(F.count("*") / MAX_HOT).scalar()
+    return F.greatest(F.lit(float(hot_rows)), share)
+
+
+def _width(first: str, last: str) -> Column:
+    span = (F.col(last) - F.col(first) + 1).cast("double")
+    return F.greatest(F.lit(1), F.ceil(span * F.col("threshold") / (F.col("n") * SPREAD)))
+
+
+def _too_full(rows: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
+    """Groups above the threshold, with their extent. Counts combine on the map side."""
+    sizes = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
     )
-    share = prices.select(F.count("*") / MAX_HOT).scalar()
-    threshold = F.greatest(F.lit(float(hot_rows)), share)
+    return sizes.withColumn("threshold", threshold).where(F.col("n") > F.col("threshold"))
 
-    def width(first: str, last: str) -> Column:
-        span = (F.col(last) - F.col(first) + 1).cast("double")
-        return F.greatest(F.lit(1), F.ceil(span * F.col("threshold") / (F.col("n") * SPREAD)))
 
-    return (
-        sizes.withColumn("threshold", threshold)
-        .where(F.col("n") > F.col("threshold"))
-        .select(
-            "ticker",
-            "first_ts",
-            width("first_ts", "last_ts").alias("ts_width"),
-            "first_pos",
-            width("first_pos", "last_pos").alias("pos_width"),
-        )
-    )
+def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Tickers above the threshold with the origin and width of their segments."""
+    full = _too_full(prices, ["ticker"], _threshold(prices, hot_rows))
+    return full.select("ticker", "first_ts", _width("first_ts", "last_ts").alias("ts_width"))
 
 
 def _segmented(prices: DataFrame, hot: DataFrame, how: str) -> DataFrame:
-    by_time = F.floor((F.col("ts") - F.col("first_ts")) / F.col("ts_width"))
-    by_position = F.floor((F.col("pos") - F.col("first_pos")) / F.col("pos_width")) + _UNTIMED
-    segment = F.when(F.col("ts").isNotNull(), by_time).otherwise(by_position)
+    """Add ``segment``: 0 for cold tickers, a stretch of time for hot ones, -1 for their points
+    without a time, which come first in the order."""
+    is_hot = F.col("hot_ticker").isNotNull()
+    stretch = F.floor((F.col("ts") - F.col("first_ts")) / F.col("ts_width"))
+    segment = F.when(~is_hot, F.lit(0)).otherwise(F.coalesce(stretch, F.lit(-1)))
+    marked = hot.withColumn("hot_ticker", F.col("ticker"))
     return (
-        prices.join(F.broadcast(hot), "ticker", how)
-        .withColumn("segment", F.coalesce(segment, F.lit(0)))
-        .drop("first_ts", "ts_width", "first_pos", "pos_width")
+        prices.join(F.broadcast(marked), "ticker", how)
+        .withColumn("segment", segment.cast("bigint"))
+        .select(*prices.columns, "segment")
     )
 
 
-def _carry(prices: DataFrame, hot: DataFrame) -> DataFrame:
-    """What precedes and follows each segment of a hot ticker."""
-    segments = (
-        _segmented(prices, hot, "inner")
-        .groupBy("ticker", "segment")
-        .agg(
+class _Cuts:
+    """The pieces of a price table."""
+
+    def __init__(self, prices: DataFrame, hot_rows: int) -> None:
+        self.prices = prices
+        self.hot = hot_tickers(prices, hot_rows)
+        hot_rows_only = _segmented(prices, self.hot, "inner")
+        full = _too_full(hot_rows_only, ["ticker", "segment"], _threshold(prices, hot_rows))
+        by_time = F.coalesce(F.col("last_ts") > F.col("first_ts"), F.lit(False))
+        self.full = full.select(
+            "ticker",
+            "segment",
+            by_time.alias("by_time"),
+            F.when(by_time, F.col("first_ts")).otherwise(F.col("first_pos")).alias("origin"),
+            F.when(by_time, _width("first_ts", "last_ts"))
+            .otherwise(_width("first_pos", "last_pos"))
+            .alias("width"),
+        )
+
+    def rows(self, how: str = "left") -> DataFrame:
+        """The points with ``segment`` and ``part``; ``how="inner"`` gives hot tickers only."""
+        place = F.when(F.col("by_time"), F.col("ts")).otherwise(F.col("pos"))
+        part = F.coalesce(F.floor((place - F.col("origin")) / F.col("width")), F.lit(0))
+        return (
+            _segmented(self.prices, self.hot, how)
+            .join(F.broadcast(self.full), ["ticker", "segment"], "left")
+            .select(*self.prices.columns, "segment", part.cast("bigint").alias("part"))
+        )
+
+    def carry(self) -> DataFrame:
+        """What precedes and follows each piece of a hot ticker."""
+        pieces = self.rows("inner").groupBy(*_PIECE).agg(
             F.count("*").alias("n"),
             F.max("value").alias("high"),
             F.max_by("value", F.struct("ts", "pos")).alias("last"),
         )
-    )
-    order = Window.partitionBy("ticker").orderBy("segment")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy("ticker"))
-    prior = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return segments.select(
-        "ticker",
-        "segment",
-        prior.alias("prior_count"),
-        (total - prior - F.col("n")).alias("later_count"),
-        F.max("high").over(before).alias("prior_high"),
-        F.lag("last").over(order).alias("prior_value"),
-    )
+        order = Window.partitionBy("ticker").orderBy("segment", "part")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        total = F.sum("n").over(Window.partitionBy("ticker"))
+        prior = F.coalesce(F.sum("n").over(before), F.lit(0))
+        return pieces.select(
+            *_PIECE,
+            prior.alias("prior_count"),
+            (total - prior - F.col("n")).alias("later_count"),
+            F.max("high").over(before).alias("prior_high"),
+            F.lag("last").over(order).alias("prior_value"),
+        )
+
+    def with_carry(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.carry()), _PIECE, "left")
 
 
 def running(prices: DataFrame, bounded: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``observation`` (1-based, oldest first), ``previous`` (value before) and ``running_max``.
 
-    ``bounded=True`` states that every ticker is already short (a tail was taken), which makes the
-    segments unnecessary.
+    ``bounded=True`` states that every ticker is already short (a tail was taken, or the caller
+    knows the data), which makes the cuts and the pass that finds them unnecessary.
     """
     if bounded:
         order = Window.partitionBy("ticker").orderBy(*oldest_first())
@@ -118,9 +149,9 @@ def running(prices: DataFrame, bounded: bool = False, hot_rows: int = HOT_ROWS)
                 ),
             }
         )
-    hot = hot_tickers(prices, hot_rows)
-    order = Window.partitionBy("ticker", "segment").orderBy(*oldest_first())
-    rows = _segmented(prices, hot, "left").withColumns(
+    cuts = _Cuts(prices, hot_rows)
+    order = Window.partitionBy(*_PIECE).orderBy(*oldest_first())
+    rows = cuts.rows().withColumns(
         {
             "local_row": F.row_number().over(order).cast("bigint"),
             "local_previous": F.lag("value").over(order),
@@ -129,7 +160,7 @@ def running(prices: DataFrame, bounded: bool = False, hot_rows: int = HOT_ROWS)
             ),
         }
     )
-    carried = rows.join(F.broadcast(_carry(prices, hot)), ["ticker", "segment"], "left")
+    carried = cuts.with_carry(rows)
     first = F.col("local_row") == 1
     return carried.withColumns(
         {
@@ -144,7 +175,9 @@ def tail(prices: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The last ``n`` points per ticker; 0 keeps all, a negative number is refused.
 
     The ``row_number() <= n`` filter reaches the map side as a group limit, so a task sends at most
-    ``n`` points per ticker into the exchange. A long tail of a hot ticker is cut per segment first.
+    ``n`` points per ticker into the exchange: however hot a ticker is, its reducer gets no more
+    than ``n`` rows per map task, about the load of an ordinary shuffle partition. A longer tail is
+    cut piece by piece first.
     """
     if n < 0:
         raise ValueError("horizon must be 0 (all points) or positive")
@@ -157,17 +190,16 @@ def tail(prices: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
             .where(F.col("from_end") <= n)
             .drop("from_end")
         )
-    hot = hot_tickers(prices, hot_rows)
-    order = Window.partitionBy("ticker", "segment").orderBy(*latest_first())
+    cuts = _Cuts(prices, hot_rows)
+    order = Window.partitionBy(*_PIECE).orderBy(*latest_first())
     rows = (
-        _segmented(prices, hot, "left")
-        .withColumn("from_end", F.row_number().over(order))
-        .where(F.col("from_end") <= n)
-        .join(F.broadcast(_carry(prices, hot)), ["ticker", "segment"], "left")
+        cuts.rows().withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") <= n)
+    )
+    return (
+        cuts.with_carry(rows)
+        .where(F.col("from_end") + F.coalesce("later_count", F.lit(0)) <= n)
+        .select(*prices.columns)
     )
-    return rows.where(
-        F.col("from_end") + F.coalesce("later_count", F.lit(0)) <= n
-    ).select(*prices.columns)
 
 
 def with_returns(series: DataFrame) -> DataFrame:

@@ -159,16 +159,29 @@ def test_tail_by_segments_matches_plain_tail(spark, monkeypatch, n):
     }
 
 
-def test_hot_ticker_is_split(spark):
+@pytest.mark.parametrize(
+    "ts",
+    [
+        "id * 1000",  # even in time
+        "if(id = 0, 0, 10000000000 + id)",  # one outlier, the rest crowded together
+        "cast(null as bigint)",  # no times at all
+        "7",  # one single time
+    ],
+)
+def test_hot_ticker_is_split(spark, ts):
     table = spark.range(4000).selectExpr(
-        "1L as company_id", "if(id % 3 = 0, 'HOT', concat('T', id % 500)) as ticker", "id * 1000 as ts",
+        "1L as company_id", "if(id % 3 = 0, 'HOT', concat('T', id % 500)) as ticker", f"{ts} as ts",
         "cast(id as double) as value", "0L as interval", "'USD' as valueUnit", "id as pos",
     )
-    hot = series.hot_tickers(table, 100)
-    assert [r.ticker for r in hot.collect()] == ["HOT"]
-    segments = series._segmented(table, hot, "left").groupBy("ticker", "segment").count()
-    assert segments.agg(F.max("count")).head()[0] <= 100
-    assert segments.where("ticker = 'HOT'").count() >= 13
+    cuts = series._Cuts(table, 100)
+    assert [r.ticker for r in cuts.hot.collect()] == ["HOT"]
+    pieces = cuts.rows().groupBy("ticker", "segment", "part").count()
+    assert pieces.agg(F.max("count")).head()[0] <= 100
+    assert pieces.where("ticker = 'HOT'").count() >= 13
+    assert pieces.agg(F.sum("count")).head()[0] == 4000
+    found = series.running(table.where("ticker = 'HOT'"), hot_rows=100)
+    assert found.where("observation <> value / 3 + 1 or running_max <> value").count() == 0
+    assert found.where("previous <> value - 3").count() == 0
 
 
 def test_flagship_plan(prices):
