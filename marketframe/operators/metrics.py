@@ -45,7 +45,7 @@ METRICS = (
 
 
 def observed(
-    prices: DataFrame, horizon: int = DEFAULT_HORIZON, hot_rows: int = HOT_ROWS
+    prices: DataFrame, horizon: int = DEFAULT_HORIZON, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """The points the metrics look at, with previous value, return, running maximum, drawdown."""
     window = tail(valid_prices(prices), horizon, hot_rows)
@@ -57,7 +57,7 @@ def price_metrics(
     prices: DataFrame,
     horizon: int = DEFAULT_HORIZON,
     metrics: Sequence[str] = METRICS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One row per ticker with the chosen metrics. The horizon counts observations, not days.
 

@@ -7,10 +7,11 @@ together in time, or have no time at all) is cut once more. Every window runs wi
 carry table. Cold tickers form a single segment, so the common case costs one exchange, as a plain
 window would.
 
-The small tables have a bound that does not depend on the data: a ticker or segment counts as too
-full only above ``max(hot_rows, total / MAX_HOT)`` points, so there are at most ``MAX_HOT`` of either,
-and pieces are wide enough for ``threshold / SPREAD`` points on average, so there are at most
-``2 * (SPREAD + 1) * MAX_HOT`` pieces. That is what makes broadcasting them safe.
+The small tables have a bound that does not depend on the data. Of the tickers above ``hot_rows``
+only the ``MAX_HOT`` largest are cut; that leaves no other ticker above ``total / MAX_HOT`` points. The
+threshold for pieces is ``max(hot_rows, points of cut tickers / MAX_HOT)``, so at most ``MAX_HOT``
+segments are too full, and at most ``2 * (SPREAD + 1) * MAX_HOT`` pieces arise. That is what makes
+broadcasting them safe. Which tickers are cut has no influence on any result.
 """
 
 from __future__ import annotations
@@ -38,32 +39,35 @@ def latest_first() -> list[Column]:
     return [F.col("ts").desc_nulls_last(), F.col("pos").desc_nulls_last()]
 
 
-def _threshold(prices: DataFrame, hot_rows: int) -> Column:
-    share = prices.select(F.count("*") / MAX_HOT).scalar()
-    return F.greatest(F.lit(float(hot_rows)), share)
-
-
 def _width(first: str, last: str) -> Column:
     span = (F.col(last) - F.col(first) + 1).cast("double")
     return F.greatest(F.lit(1), F.ceil(span * F.col("threshold") / (F.col("n") * SPREAD)))
 
 
-def _too_full(rows: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
-    """Groups above the threshold, with their extent. Counts combine on the map side."""
-    sizes = rows.groupBy(*keys).agg(
+def _extents(rows: DataFrame, *keys: str) -> DataFrame:
+    """Size and extent per group; combines on the map side."""
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
     )
-    return sizes.withColumn("threshold", threshold).where(F.col("n") > F.col("threshold"))
 
 
 def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Tickers above the threshold with the origin and width of their segments."""
-    full = _too_full(prices, ["ticker"], _threshold(prices, hot_rows))
-    return full.select("ticker", "first_ts", _width("first_ts", "last_ts").alias("ts_width"))
+    """The tickers to cut, with the threshold and the origin and width of their segments. The
+    window that sums their sizes runs over these at most ``MAX_HOT`` rows."""
+    largest = (
+        _extents(prices, "ticker")
+        .where(F.col("n") > hot_rows)
+        .orderBy(F.col("n").desc(), "ticker")
+        .limit(MAX_HOT)
+    )
+    share = F.sum("n").over(Window.partitionBy(F.lit(0))) / MAX_HOT
+    return largest.withColumn("threshold", F.greatest(F.lit(float(hot_rows)), share)).select(
+        "ticker", "threshold", "first_ts", _width("first_ts", "last_ts").alias("ts_width")
+    )
 
 
 def _segmented(prices: DataFrame, hot: DataFrame, how: str) -> DataFrame:
@@ -76,7 +80,7 @@ def _segmented(prices: DataFrame, hot: DataFrame, how: str) -> DataFrame:
     return (
         prices.join(F.broadcast(marked), "ticker", how)
         .withColumn("segment", segment.cast("bigint"))
-        .select(*prices.columns, "segment")
+        .select(*prices.columns, "segment", "threshold")
     )
 
 
@@ -86,8 +90,8 @@ class _Cuts:
     def __init__(self, prices: DataFrame, hot_rows: int) -> None:
         self.prices = prices
         self.hot = hot_tickers(prices, hot_rows)
-        hot_rows_only = _segmented(prices, self.hot, "inner")
-        full = _too_full(hot_rows_only, ["ticker", "segment"], _threshold(prices, hot_rows))
+        segments = _extents(_segmented(prices, self.hot, "inner"), "ticker", "segment", "threshold")
+        full = segments.where(F.col("n") > F.col("threshold"))
         by_time = F.coalesce(F.col("last_ts") > F.col("first_ts"), F.lit(False))
         self.full = full.select(
             "ticker",
@@ -132,13 +136,16 @@ class _Cuts:
         return rows.join(F.broadcast(self.carry()), _PIECE, "left")
 
 
-def running(prices: DataFrame, bounded: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running(
+    prices: DataFrame, bounded: bool = False, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
     """Add ``observation`` (1-based, oldest first), ``previous`` (value before) and ``running_max``.
 
-    ``bounded=True`` states that every ticker is already short (a tail was taken, or the caller
-    knows the data), which makes the cuts and the pass that finds them unnecessary.
+    ``bounded=True`` states that every ticker is already short because a tail was taken;
+    ``hot_rows=None`` that the caller knows no ticker to be large. Either makes the cuts, and the
+    pass that finds them, unnecessary.
     """
-    if bounded:
+    if bounded or hot_rows is None:
         order = Window.partitionBy("ticker").orderBy(*oldest_first())
         return prices.withColumns(
             {
@@ -171,7 +178,7 @@ def running(prices: DataFrame, bounded: bool = False, hot_rows: int = HOT_ROWS)
     ).select(*prices.columns, "observation", "previous", "running_max")
 
 
-def tail(prices: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The last ``n`` points per ticker; 0 keeps all, a negative number is refused.
 
     The ``row_number() <= n`` filter reaches the map side as a group limit, so a task sends at most
@@ -183,7 +190,7 @@ def tail(prices: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
         raise ValueError("horizon must be 0 (all points) or positive")
     if n == 0:
         return prices
-    if n <= SHORT_TAIL:
+    if n <= SHORT_TAIL or hot_rows is None:
         order = Window.partitionBy("ticker").orderBy(*latest_first())
         return (
             prices.withColumn("from_end", F.row_number().over(order))
@@ -218,12 +225,12 @@ def with_drawdown(series: DataFrame) -> DataFrame:
     )
 
 
-def chronological(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def chronological(prices: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Points numbered in time order per ticker (``observation``)."""
     return running(prices, hot_rows=hot_rows).drop("previous", "running_max")
 
 
-def rolling(prices: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Mean, sample deviation, minimum and maximum over the last ``size`` points of each point.
 
     Cold tickers use one window. Hot tickers are numbered first and cut into chunks of equal
@@ -232,30 +239,19 @@ def rolling(prices: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame
     """
     if size < 1:
         raise ValueError("size must be at least 1")
-    hot = hot_tickers(prices, hot_rows)
-    chunk_rows = max(hot_rows, size)
-
-    cold = prices.join(F.broadcast(hot.select("ticker")), "ticker", "left_anti").withColumns(
-        {"chunk": F.lit(0).cast("bigint"), "own": F.lit(True)}
-    )
-    numbered = running(
-        prices.join(F.broadcast(hot.select("ticker")), "ticker", "left_semi"), hot_rows=hot_rows
-    ).drop("previous", "running_max")
-    index = F.col("observation") - 1
-    home = F.floor(index / chunk_rows)
-    shared = (index % chunk_rows) >= chunk_rows - (size - 1)
-    chunks = F.when(shared, F.array(home, home + 1)).otherwise(F.array(home))
-    cut = (
-        numbered.withColumn("home", home)
-        .withColumn("chunk", F.explode(chunks))
-        .withColumn("own", F.col("home") == F.col("chunk"))
-        .select(*cold.columns)
-    )
+    whole = {"chunk": F.lit(0).cast("bigint"), "own": F.lit(True)}
+    if hot_rows is None:
+        chunked = prices.withColumns(whole)
+    else:
+        hot = F.broadcast(hot_tickers(prices, hot_rows).select("ticker"))
+        cold = prices.join(hot, "ticker", "left_anti").withColumns(whole)
+        chunked = cold.unionByName(
+            _chunks(prices.join(hot, "ticker", "left_semi"), size, hot_rows).select(*cold.columns)
+        )
     order = Window.partitionBy("ticker", "chunk").orderBy(*oldest_first())
     frame = order.rowsBetween(-(size - 1), Window.currentRow)
     return (
-        cold.unionByName(cut)
-        .withColumns(
+        chunked.withColumns(
             {
                 "rolling_mean": F.avg("value").over(frame),
                 "rolling_std": F.stddev_samp("value").over(frame),
@@ -266,3 +262,17 @@ def rolling(prices: DataFrame, size: int, hot_rows: int = HOT_ROWS) -> DataFrame
         .where("own")
         .drop("chunk", "own")
     )
+
+
+def _chunks(prices: DataFrame, size: int, hot_rows: int) -> DataFrame:
+    """Points with the chunks they take part in; ``own`` marks the one they belong to."""
+    length = max(hot_rows, size)
+    numbered = chronological(prices, hot_rows)
+    index = F.col("observation") - 1
+    home = F.floor(index / length)
+    shared = (index % length) >= length - (size - 1)
+    return (
+        numbered.withColumn("home", home)
+        .withColumn("chunk", F.explode(F.when(shared, F.array(home, home + 1)).otherwise(F.array(home))))
+        .withColumn("own", F.col("home") == F.col("chunk"))
+    )
