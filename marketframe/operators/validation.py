@@ -95,33 +95,50 @@ def document_records(documents: DataFrame, body: str = "body") -> DataFrame:
     gives one row with ``file_error``. The other columns pass through.
     """
     others = [c for c in documents.columns if c != body]
-    parsed = documents.withColumn("root", F.try_parse_json(body))
     root = F.col("root")
     names = F.create_map(*[F.lit(x) for pair in ROOT_NAMES.items() for x in pair])
-    root_name = F.try_element_at(names, kind_of(root))
-    records = F.coalesce(elements(root), F.when(entries(root).isNotNull(), F.array(root)))
-    file_error = F.when(root.isNull(), F.lit("Invalid JSON")).when(
-        records.isNull(),
-        F.concat(F.lit("Invalid JSON structure: expected array or object, got "), root_name),
+    file_error = F.when(root.isNull(), F.lit("Invalid JSON")).otherwise(
+        F.concat(
+            F.lit("Invalid JSON structure: expected array or object, got "),
+            F.try_element_at(names, kind_of(root)),
+        )
     )
-    exploded = parsed.select(
-        *others,
-        file_error.alias("file_error"),
-        F.posexplode_outer(records).alias("index", "record"),
+
+    def item(record: Column, error: Column) -> Column:
+        return F.struct(record.alias("record"), error.alias("file_error"))
+
+    no_error, no_record = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    items = F.coalesce(
+        F.transform(elements(root), lambda e: item(e, no_error)),
+        F.when(entries(root).isNotNull(), F.array(item(root, no_error))),
+        F.array(item(no_record, file_error)),
     )
-    return exploded.where(F.col("index").isNotNull() | F.col("file_error").isNotNull()).select(
-        *others, (F.col("index") + 1).cast("bigint").alias("record_index"), "record", "file_error"
+    # An outer generator: no filter is inferred for it or moves below it, so JSON is parsed once.
+    return (
+        documents.withColumn("root", F.try_parse_json(body))
+        .select(*others, F.posexplode_outer(items).alias("index", "item"))
+        .where(F.col("item").isNotNull())
+        .select(*others, (F.col("index") + 1).cast("bigint").alias("record_index"), "item.*")
     )
 
 
+def computed_once(df: DataFrame, column: str) -> DataFrame:
+    """Keep later filters on an expensive column above this point. Spark would otherwise move them
+    below the projection and evaluate the column again there; it does not move them below a
+    generator, and this one emits exactly one row per row."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode_outer(F.array(column)).alias(column))
+
+
 def checked_records(records: DataFrame) -> DataFrame:
     """Add ``problems`` to records, and drop the record itself."""
     found = record_messages(F.col("record"), F.col("kinds"))
-    return (
+    checked = (
         records.withColumn("kinds", member_kinds(F.col("record"), COMPANY_SCHEMA.names))
         .withColumn("problems", F.when(F.col("file_error").isNull(), found))
         .drop("record", "kinds")
     )
+    return computed_once(checked, "problems")
 
 
 def record_errors(checked: DataFrame) -> DataFrame:
@@ -138,7 +155,8 @@ def record_errors(checked: DataFrame) -> DataFrame:
 def field_errors(checked: DataFrame) -> DataFrame:
     """One row per offending field."""
     others = [c for c in checked.columns if c not in ("problems", "file_error")]
-    return checked.select(*others, F.explode("problems").alias("error"))
+    found = checked.select(*others, F.explode_outer("problems").alias("error"))
+    return found.where(F.col("error").isNotNull())
 
 
 def valid_count(checked: DataFrame) -> DataFrame:
@@ -174,11 +192,12 @@ def checked_entries(entries_: DataFrame) -> DataFrame:
         _required_string(kinds, "ticker"),
     )
     found = F.when(kinds.isNull(), F.array(F.lit("entry: not a valid object"))).otherwise(fields)
-    return (
+    checked = (
         entries_.withColumn("kinds", member_kinds(entry, MAPPING_SCHEMA.names))
         .withColumn("problems", found)
         .drop("kinds")
     )
+    return computed_once(checked, "problems")
 
 
 def repeats(rows: DataFrame, key: str) -> DataFrame:
