@@ -16,7 +16,7 @@ broadcasting them safe. Which tickers are cut has no influence on any result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Points of one ticker that a single task may hold before the ticker is cut.
@@ -31,56 +31,38 @@ SHORT_TAIL = 1_000
 _PIECE = ["ticker", "segment", "part"]
 
 
-def oldest_first() -> list[Column]:
-    return [F.col("ts").asc_nulls_first(), F.col("pos").asc_nulls_first()]
-
-
-def latest_first() -> list[Column]:
-    return [F.col("ts").desc_nulls_last(), F.col("pos").desc_nulls_last()]
-
-
-def _width(first: str, last: str) -> Column:
-    span = (F.col(last) - F.col(first) + 1).cast("double")
-    return F.greatest(F.lit(1), F.ceil(span * F.col("threshold") / (F.col("n") * SPREAD)))
-
-
-def _extents(rows: DataFrame, *keys: str) -> DataFrame:
-    """Size and extent per group; combines on the map side."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min("pos").alias("first_pos"),
-        F.max("pos").alias("last_pos"),
-    )
+def _width(first: str, last: str) -> str:
+    return f"greatest(1L, ceil(double({last} - {first} + 1) * threshold / (n * {SPREAD})))"
 
 
 def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The tickers to cut, with the threshold and the origin and width of their segments. The
-    window that sums their sizes runs over these at most ``MAX_HOT`` rows."""
-    largest = (
-        _extents(prices, "ticker")
-        .where(F.col("n") > hot_rows)
-        .orderBy(F.col("n").desc(), "ticker")
+    """The tickers to cut, with the threshold and the origin and width of their segments. Sizes
+    combine on the map side; the window that adds them up runs over at most ``MAX_HOT`` rows."""
+    return (
+        prices.groupBy("ticker")
+        .agg(
+            F.expr("count(*) AS n"),
+            F.expr("min(ts) AS first_ts"),
+            F.expr("max(ts) AS last_ts"),
+        )
+        .where(f"n > {hot_rows}")
+        .orderBy(F.desc("n"), "ticker")
         .limit(MAX_HOT)
-    )
-    share = F.sum("n").over(Window.partitionBy(F.lit(0))) / MAX_HOT
-    return largest.withColumn("threshold", F.greatest(F.lit(float(hot_rows)), share)).select(
-        "ticker", "threshold", "first_ts", _width("first_ts", "last_ts").alias("ts_width")
+        .selectExpr(
+            "*",
+            f"greatest(double({hot_rows}), sum(n) OVER (PARTITION BY 0) / {MAX_HOT}) AS threshold",
+        )
+        .selectExpr("ticker", "threshold", "first_ts", f"{_width('first_ts', 'last_ts')} AS ts_width")
     )
 
 
 def _segmented(prices: DataFrame, hot: DataFrame, how: str) -> DataFrame:
     """Add ``segment``: 0 for cold tickers, a stretch of time for hot ones, -1 for their points
     without a time, which come first in the order."""
-    is_hot = F.col("hot_ticker").isNotNull()
-    stretch = F.floor((F.col("ts") - F.col("first_ts")) / F.col("ts_width"))
-    segment = F.when(~is_hot, F.lit(0)).otherwise(F.coalesce(stretch, F.lit(-1)))
-    marked = hot.withColumn("hot_ticker", F.col("ticker"))
-    return (
-        prices.join(F.broadcast(marked), "ticker", how)
-        .withColumn("segment", segment.cast("bigint"))
-        .select(*prices.columns, "segment", "threshold")
+    return prices.join(F.broadcast(hot), "ticker", how).selectExpr(
+        "* EXCEPT (first_ts, ts_width)",
+        "CASE WHEN threshold IS NULL THEN 0L "
+        "ELSE coalesce(floor((ts - first_ts) / ts_width), -1L) END AS segment",
     )
 
 
@@ -90,52 +72,74 @@ class _Cuts:
     def __init__(self, prices: DataFrame, hot_rows: int) -> None:
         self.prices = prices
         self.hot = hot_tickers(prices, hot_rows)
-        segments = _extents(_segmented(prices, self.hot, "inner"), "ticker", "segment", "threshold")
-        full = segments.where(F.col("n") > F.col("threshold"))
-        by_time = F.coalesce(F.col("last_ts") > F.col("first_ts"), F.lit(False))
-        self.full = full.select(
-            "ticker",
-            "segment",
-            by_time.alias("by_time"),
-            F.when(by_time, F.col("first_ts")).otherwise(F.col("first_pos")).alias("origin"),
-            F.when(by_time, _width("first_ts", "last_ts"))
-            .otherwise(_width("first_pos", "last_pos"))
-            .alias("width"),
+        self.full = (
+            _segmented(prices, self.hot, "inner")
+            .groupBy("ticker", "segment", "threshold")
+            .agg(
+                F.expr("count(*) AS n"),
+                F.expr("min(ts) AS first_ts"),
+                F.expr("max(ts) AS last_ts"),
+                F.expr("min(pos) AS first_pos"),
+                F.expr("max(pos) AS last_pos"),
+            )
+            .where("n > threshold")
+            .selectExpr("*", "coalesce(last_ts > first_ts, false) AS by_time")
+            .selectExpr(
+                "ticker",
+                "segment",
+                "by_time",
+                "if(by_time, first_ts, first_pos) AS origin",
+                f"if(by_time, {_width('first_ts', 'last_ts')}, {_width('first_pos', 'last_pos')})"
+                " AS width",
+            )
         )
 
     def rows(self, how: str = "left") -> DataFrame:
         """The points with ``segment`` and ``part``; ``how="inner"`` gives hot tickers only."""
-        place = F.when(F.col("by_time"), F.col("ts")).otherwise(F.col("pos"))
-        part = F.coalesce(F.floor((place - F.col("origin")) / F.col("width")), F.lit(0))
         return (
             _segmented(self.prices, self.hot, how)
             .join(F.broadcast(self.full), ["ticker", "segment"], "left")
-            .select(*self.prices.columns, "segment", part.cast("bigint").alias("part"))
+            .selectExpr(
+                "* EXCEPT (threshold, by_time, origin, width)",
+                "coalesce(floor((if(by_time, ts, pos) - origin) / width), 0L) AS part",
+            )
         )
 
     def carry(self) -> DataFrame:
         """What precedes and follows each piece of a hot ticker."""
         pieces = self.rows("inner").groupBy(*_PIECE).agg(
-            F.count("*").alias("n"),
-            F.max("value").alias("high"),
-            F.max_by("value", F.struct("ts", "pos")).alias("last"),
+            F.expr("count(*) AS n"),
+            F.expr("max(value) AS high"),
+            F.expr("max_by(value, struct(ts, pos)) AS last"),
         )
-        order = Window.partitionBy("ticker").orderBy("segment", "part")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        total = F.sum("n").over(Window.partitionBy("ticker"))
-        prior = F.coalesce(F.sum("n").over(before), F.lit(0))
-        return pieces.select(
+        order = "PARTITION BY ticker ORDER BY segment, part"
+        before = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        return pieces.selectExpr(
             *_PIECE,
-            prior.alias("prior_count"),
-            (total - prior - F.col("n")).alias("later_count"),
-            F.max("high").over(before).alias("prior_high"),
-            F.lag("last").over(order).alias("prior_value"),
+            f"coalesce(sum(n) OVER ({before}), 0L) AS prior_count",
+            f"sum(n) OVER (PARTITION BY ticker) - coalesce(sum(n) OVER ({before}), 0L) - n"
+            " AS later_count",
+            f"max(high) OVER ({before}) AS prior_high",
+            f"lag(last) OVER ({order}) AS prior_value",
         )
 
     def with_carry(self, rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(self.carry()), _PIECE, "left")
 
 
+_OLDEST_FIRST = "ORDER BY ts ASC NULLS FIRST, pos ASC NULLS FIRST"
+_LATEST_FIRST = "ORDER BY ts DESC NULLS LAST, pos DESC NULLS LAST"
+
+
+def _running_columns(partition: str) -> list[str]:
+    window = f"PARTITION BY {partition} {_OLDEST_FIRST}"
+    return [
+        f"bigint(row_number() OVER ({window})) AS observation",
+        f"lag(value) OVER ({window}) AS previous",
+        f"max(value) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max",
+    ]
+
+
 def running(
     prices: DataFrame, bounded: bool = False, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
@@ -146,36 +150,15 @@ def running(
     pass that finds them, unnecessary.
     """
     if bounded or hot_rows is None:
-        order = Window.partitionBy("ticker").orderBy(*oldest_first())
-        return prices.withColumns(
-            {
-                "observation": F.row_number().over(order).cast("bigint"),
-                "previous": F.lag("value").over(order),
-                "running_max": F.max("value").over(
-                    order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                ),
-            }
-        )
+        return prices.selectExpr("*", *_running_columns("ticker"))
     cuts = _Cuts(prices, hot_rows)
-    order = Window.partitionBy(*_PIECE).orderBy(*oldest_first())
-    rows = cuts.rows().withColumns(
-        {
-            "local_row": F.row_number().over(order).cast("bigint"),
-            "local_previous": F.lag("value").over(order),
-            "local_max": F.max("value").over(
-                order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
+    rows = cuts.rows().selectExpr("*", *_running_columns(", ".join(_PIECE)))
+    return cuts.with_carry(rows).selectExpr(
+        *[f"`{c}`" for c in prices.columns],
+        "observation + coalesce(prior_count, 0L) AS observation",
+        "if(observation = 1, prior_value, previous) AS previous",
+        "greatest(running_max, prior_high) AS running_max",
     )
-    carried = cuts.with_carry(rows)
-    first = F.col("local_row") == 1
-    return carried.withColumns(
-        {
-            "observation": F.col("local_row") + F.coalesce("prior_count", F.lit(0)),
-            "previous": F.when(first, F.col("prior_value")).otherwise(F.col("local_previous")),
-            "running_max": F.greatest("local_max", "prior_high"),
-        }
-    ).select(*prices.columns, "observation", "previous", "running_max")
 
 
 def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -191,20 +174,14 @@ def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFram
     if n == 0:
         return prices
     if n <= SHORT_TAIL or hot_rows is None:
-        order = Window.partitionBy("ticker").orderBy(*latest_first())
-        return (
-            prices.withColumn("from_end", F.row_number().over(order))
-            .where(F.col("from_end") <= n)
-            .drop("from_end")
-        )
+        from_end = f"row_number() OVER (PARTITION BY ticker {_LATEST_FIRST}) AS from_end"
+        return prices.selectExpr("*", from_end).where(f"from_end <= {n}").drop("from_end")
     cuts = _Cuts(prices, hot_rows)
-    order = Window.partitionBy(*_PIECE).orderBy(*latest_first())
-    rows = (
-        cuts.rows().withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") <= n)
-    )
+    from_end = f"row_number() OVER (PARTITION BY {', '.join(_PIECE)} {_LATEST_FIRST}) AS from_end"
+    rows = cuts.rows().selectExpr("*", from_end).where(f"from_end <= {n}")
     return (
         cuts.with_carry(rows)
-        .where(F.col("from_end") + F.coalesce("later_count", F.lit(0)) <= n)
+        .where(f"from_end + coalesce(later_count, 0L) <= {n}")
         .select(*prices.columns)
     )
 
@@ -248,16 +225,16 @@ def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> Da
         chunked = cold.unionByName(
             _chunks(prices.join(hot, "ticker", "left_semi"), size, hot_rows).select(*cold.columns)
         )
-    order = Window.partitionBy("ticker", "chunk").orderBy(*oldest_first())
-    frame = order.rowsBetween(-(size - 1), Window.currentRow)
+    frame = (
+        f"PARTITION BY ticker, chunk {_OLDEST_FIRST} ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW"
+    )
     return (
-        chunked.withColumns(
-            {
-                "rolling_mean": F.avg("value").over(frame),
-                "rolling_std": F.stddev_samp("value").over(frame),
-                "rolling_min": F.min("value").over(frame),
-                "rolling_max": F.max("value").over(frame),
-            }
+        chunked.selectExpr(
+            "*",
+            f"avg(value) OVER ({frame}) AS rolling_mean",
+            f"stddev_samp(value) OVER ({frame}) AS rolling_std",
+            f"min(value) OVER ({frame}) AS rolling_min",
+            f"max(value) OVER ({frame}) AS rolling_max",
         )
         .where("own")
         .drop("chunk", "own")
