@@ -40,10 +40,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``_base``, the place of each row's first line (equal for repeated rows)."""
     known = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     text = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(10**9))
-    place = known.cast("decimal(19,0)") * F.lit(_TEXT).cast("decimal(20,0)")
-    return docs.withColumn(
-        "_base", (place.cast("decimal(38,0)") + (text.cast("decimal(9,0)") * F.lit(_LINE).cast("decimal(11,0)"))).cast("decimal(38,0)")
-    )
+    place = known.cast("decimal(19,0)") * F.expr(f"{_TEXT}BD") + text.cast("decimal(9,0)") * F.expr(f"{_LINE}BD")
+    return docs.withColumn("_base", place.cast("decimal(38,0)"))
 
 
 def _words(line: Column) -> Column:
@@ -137,7 +135,7 @@ def _near(keys: DataFrame, keyed: DataFrame, text_col: str) -> DataFrame:
     halves = keys.where(F.col("halves").isNotNull()).select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
     places = materialized(halves.join(shared.select("half"), "half").select(F.col("first").alias("place")).distinct(), "lines-shared")
-    base = F.col("place") - F.col("place") % F.lit(_LINE).cast("decimal(11,0)")
+    base = F.col("place") - F.col("place") % F.expr(f"{_LINE}BD")
     held = bitmap.build(places.select(F.xxhash64(base.cast("decimal(38,0)")).alias("h")), "h")
     perhaps = bitmap.mark(keyed.select("_base", text_col), F.xxhash64("_base"), held, "_perhaps").where("_perhaps")
     lines = _lines(perhaps, text_col).join(places, "place").select("place", _words(F.col("line")).alias("w"))
@@ -187,7 +185,7 @@ def dedup_lines(
         judged = keys.select("h1", "h2", "first", "n", F.lit(None).cast("boolean").alias("near"))
     judged = judged.where("n > 1 or near is not null").select("h1", "h2", "first", "near")
     gone = seen.select("h1", "h2", "place").join(judged, ["h1", "h2"]).where("near is not null or place > first")
-    no = F.col("place") % F.lit(_LINE).cast("decimal(11,0)")
+    no = F.col("place") % F.expr(f"{_LINE}BD")
     removed = materialized(
         gone.select((F.col("place") - no).cast("decimal(38,0)").alias("_base"), no.cast("int").alias("no"))
         .groupBy("_base")
