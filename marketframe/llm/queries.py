@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, packing, simhash
+from marketframe.workspace import materialized
+
+from . import byte_bpe, line_dedup, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,15 @@ def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    voted = materialized(quality.votes(quality.measures(docs)).drop("text"), "quality-votes")
+    return quality.judge(voted, quality.estimate(voted)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that no earlier line equals or nearly equals."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -56,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_packing": op1_binary_packing,
+    "op4_quality": op4_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
