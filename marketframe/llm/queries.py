@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.workspace import materialized
 
-from . import byte_bpe, line_dedup, packing, quality, simhash
+from . import byte_bpe, line_dedup, packing, personal, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,34 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _number(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, in the plain text and under encodings."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(_number("base", kind) for kind in secrets.KINDS),
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+        "n_layers",
+        "n_oversize",
+    )
+
+
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = personal.find_personal(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(_number("base", kind) for kind in personal.KINDS),
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that no earlier line equals or nearly equals."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -68,6 +96,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_packing": op1_binary_packing,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
+    "op6_personal": op6_personal,
     "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
