@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketframe.workspace import materialized
 
-from . import byte_bpe, line_dedup, packing, personal, quality, secrets, simhash
+from . import byte_bpe, html_extract, line_dedup, packing, personal, pivot_search, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +73,31 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector, by integer inner product."""
+    scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    table = _table(spark, sf_dir, "embeddings").where(F.coalesce(finite, F.lit(False)))
+    vectors = materialized(pivot_search.clean(table, "vec_id", scaled), "pivot-vectors")
+    found = pivot_search.top_k(vectors, F.col("id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), met AS (
+  SELECT q.vec_id AS query_id, q.e AS qe, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM met
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that no earlier line equals or nearly equals."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -95,12 +126,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_packing": op1_binary_packing,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_personal": op6_personal,
+    "op7_pivot_top_k": op7_pivot_top_k,
     "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_pivot_top_k": OP7_SQL}
