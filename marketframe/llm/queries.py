@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketframe.workspace import materialized
 
-from . import byte_bpe, html_extract, line_dedup, packing, personal, pivot_search, quality, secrets, simhash
+from . import byte_bpe, html_extract, line_dedup, packing, personal, pivot_search, quality, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The contract's rules: verdict, and host with path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url: by rule, else by its path template."""
+    found = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -126,6 +136,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_packing": op1_binary_packing,
+    "op2_url_templates": op2_url_templates,
     "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
