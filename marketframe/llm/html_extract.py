@@ -8,8 +8,9 @@ either label) and down again (which turn likelihoods into marginals); an element
 reaches a half gives its text.
 
 Potentials are trained by counting on labelled pages: where a page marks its article, elements inside
-are content, marked boilerplate and everything else is not. Known markers of menus, notices, adverts,
-forms, comments and the like are evidence, in training and afterwards. Pages are independent.
+are content, marked boilerplate and everything else is not. A marked article, and known markers of
+menus, notices, adverts, forms, comments and the like, are evidence, in training and afterwards.
+Pages are independent.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 
 
 class Element:
-    __slots__ = ("tag", "parent", "marked", "texts", "chars", "linked", "last", "children", "inside")
+    __slots__ = ("tag", "parent", "marked", "texts", "chars", "linked", "last", "children", "inside", "dead")
 
     def __init__(self, tag: str, parent: int, marked: bool):
         self.tag, self.parent, self.marked = tag, parent, marked
@@ -66,7 +67,8 @@ class Element:
         self.chars = self.linked = 0
         self.last = ""
         self.children: list[int] = []
-        self.inside = False
+        self.inside = False  # of an article
+        self.dead = marked  # it, or an element around it, is marked
 
 
 def _marked(tag: str, attributes: str) -> bool:
@@ -194,6 +196,11 @@ def _settle(elements: list[Element]) -> None:
     for e in elements[1:]:
         up = elements[e.parent]
         e.inside = up.inside or up.tag in _ARTICLE_TAGS
+        e.dead = e.marked or up.dead
+
+
+def _is_article(e: Element) -> bool:
+    return e.tag in _ARTICLE_TAGS and not e.dead
 
 
 def training_counts(page: str) -> Counter:
@@ -201,12 +208,9 @@ def training_counts(page: str) -> Counter:
     elements, _ = parse(page)
     _settle(elements)
     label = [False] * len(elements)
-    dead = [False] * len(elements)
-    for i, e in enumerate(elements):
-        dead[i] = e.marked or (e.parent >= 0 and dead[e.parent])
     found = False
     for i, e in enumerate(elements):
-        if not dead[i] and (e.inside or e.tag in _ARTICLE_TAGS):
+        if not e.dead and (e.inside or e.tag in _ARTICLE_TAGS):
             label[i] = found = True
             up = e.parent
             while up >= 0 and not label[up]:
@@ -220,7 +224,7 @@ def training_counts(page: str) -> Counter:
         counts[f"n|{y}"] += 1
         for f in _features(e):
             counts[f"{f}|{y}"] += 1
-        if e.parent >= 0 and label[e.parent]:
+        if e.parent >= 0 and label[e.parent] and not e.marked:
             counts[f"edge={_group(elements[e.parent])}|{y}"] += 1
     return counts
 
@@ -259,19 +263,26 @@ class Model:
         for i in range(len(elements) - 1, -1, -1):  # up: children stand behind their parents
             e = elements[i]
             a, b = self.own(e)
-            off[i] += a
+            off[i] = -math.inf if _is_article(e) else off[i] + a
             on[i] = -math.inf if e.marked else on[i] + b
-            if i:
+            if i and e.marked:  # evidence, which tells nothing of the parent
+                off[e.parent] += off[i]
+                on[e.parent] += off[i]
+            elif i:
                 no, yes = self.edge(elements[e.parent])
                 x, y = no + off[i], yes + on[i]
                 top = max(x, y)
                 off[e.parent] += off[i]
-                on[e.parent] += top + math.log(math.exp(x - top) + math.exp(y - top))
+                on[e.parent] += top if top == -math.inf else top + math.log(math.exp(x - top) + math.exp(y - top))
         out = [1.0] * len(elements)
         for i, e in enumerate(elements[1:], 1):  # down
             no, yes = self.edge(elements[e.parent])
-            gap = (no + off[i]) - (yes + on[i])
-            out[i] = out[e.parent] / (1 + math.exp(min(gap, 700.0)))
+            if e.dead:
+                out[i] = 0.0
+            elif off[i] == -math.inf:
+                out[i] = out[e.parent]
+            else:
+                out[i] = out[e.parent] / (1 + math.exp(min((no + off[i]) - (yes + on[i]), 700.0)))
         return out
 
     def text(self, page: str) -> str:
