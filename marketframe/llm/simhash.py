@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,9 @@ from .components import connected_components
 
 #: Members of a grid cell from which on links go over midpoints.
 CROWDED = 1024
+#: Expected partners of a fingerprint in a cell that are none; they cost a comparison, and fewer cost
+#: more cells per fingerprint.
+STRANGERS = 16
 
 _LOW = 0x5555555555555555
 
@@ -95,11 +97,10 @@ def _masks(groups: int, kept: int) -> list[int]:
 
 
 def grid(n: int, max_bits: int) -> int:
-    """Groups of segments: as few as keep the expected pairs of unrelated fingerprints in all cells
-    below their number. Two unrelated vectors agree in a segment with probability 3/8."""
-    for groups in range(max_bits + 1, 2 * max_bits + 5):
-        kept = groups - max_bits
-        if comb(groups, kept) * n * 0.375 ** (32 * kept / groups) <= 2 * comb(groups, kept):
+    """Groups of segments: as few as leave an unrelated fingerprint ``STRANGERS`` partners per cell at
+    most. Two unrelated vectors agree in a segment with probability 3/8."""
+    for groups in range(max_bits + 1, 2 * max_bits + 4):
+        if n * 0.375 ** (32 * (groups - max_bits) / groups) <= STRANGERS:
             return groups
     return 2 * max_bits + 4
 
