@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .packing import blocks
 
 #: Encoded words, and chunks of words, kept per Python worker; beyond it a table starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 300_000
 #: Longer words are encoded each time they occur in a block instead of being kept.
 KEPT_LENGTH = 40
 
