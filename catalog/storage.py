@@ -127,7 +127,8 @@ def _(spark, sf_dir):
 
 _DETAILS_SQL = f"""WITH {CUSTOMER_COMPANIES}
 SELECT id, name, ticker, sector, industry, description, indices, exchanges, acctbal, debt, nation,
-       last_updated_fundamentals, last_updated_stock_price FROM companies"""
+       last_updated_fundamentals::BIGINT AS last_updated_fundamentals,
+       last_updated_stock_price::BIGINT AS last_updated_stock_price FROM companies"""
 
 
 def _flat(companies: DataFrame) -> DataFrame:

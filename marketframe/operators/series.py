@@ -4,8 +4,8 @@ Points are ordered by ``(ts NULLS FIRST, pos)`` within a ticker. A ticker that h
 ``hot_rows`` points is cut into time segments, and a segment that is still too full (points crowd
 together in time, or have no time at all) is cut once more. Every window runs within
 ``(ticker, segment, part)`` and takes what came before (count, maximum, last value) from a small
-carry table. Cold tickers form a single segment, so the common case costs one exchange, as a plain
-window would.
+carry table. Cold tickers form a single segment; the initial plan still holds the branches for hot
+ones, and the one that runs without any has two exchanges.
 
 The small tables have a bound that does not depend on the data. Of the tickers above ``hot_rows``
 only the ``MAX_HOT`` largest are cut; that leaves no other ticker above ``total / MAX_HOT`` points. The

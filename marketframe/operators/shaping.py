@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +11,16 @@ from pyspark.sql import types as T
 from ..functions import canonical_ticker, json_text, lax_integer
 from ..schemas import COMPANY_SCHEMA, POINT_SCHEMA, PRICE_SCHEMA
 
-#: More metric names than a table can sensibly have columns.
-MAX_METRIC_COLUMNS = 5_000
-
 _POINTS_DDL = "array<struct<ts: bigint, value: double, interval: bigint, valueUnit: string>>"
 
 
 def object_points(points: Column) -> Column:
     """Typed price points from an array of JSON texts; elements that are not objects vanish. The
-    objects are parsed in one go, and a value of the wrong type is null in its own field only."""
+    objects are parsed in one go, and a value of the wrong type (any text, "Infinity" included) is
+    null in its own field only."""
     objects = F.filter(points, lambda e: F.ltrim(e).startswith("{"))
     listed = F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))
-    return F.from_json(listed, _POINTS_DDL)
+    return F.from_json(listed, _POINTS_DDL, {"allowNonNumericNumbers": "false"})
 
 
 def typed_companies(documents: DataFrame) -> DataFrame:
@@ -79,33 +77,67 @@ def prices_with_fallback(
 
 def _reject_collisions(df: DataFrame, replaced: str, names: Iterable[str]) -> None:
     taken = {c.lower() for c in df.columns if c != replaced}
-    clash = sorted(n for n in names if n.lower() in taken)
+    clash = []
+    for name in sorted(names):
+        if name.lower() in taken:
+            clash.append(name)
+        taken.add(name.lower())
     if clash:
         raise ValueError(f"flattening {replaced!r} would repeat columns: {clash}")
 
 
-def metric_names(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct keys of a map column. The result becomes a list of output columns, so it is
-    small by nature; a table that breaks that expectation is refused rather than collected."""
-    names = (
-        df.select(F.explode(F.map_keys(column)).alias("name"))
-        .distinct()
-        .limit(MAX_METRIC_COLUMNS + 1)
+def metric_types(df: DataFrame, column: str) -> dict[str, str]:
+    """The keys of a map of JSON values, sorted, with the narrowest type that holds all their values:
+    ``bigint``, ``boolean``, ``double`` or, where any of those would change a value, ``string``.
+
+    One aggregation that combines before its shuffle; the result is one entry per output column of a
+    wide table. Where that is too wide, use :func:`long_metrics`.
+    """
+    value = F.col("value").cast("string")
+    whole = F.when(value.isNotNull(), value.rlike(r"^-?(?:0|[1-9][0-9]{0,18})$") & value.try_cast("bigint").isNotNull())
+    number = value.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
+    found = (
+        df.select(F.explode(column).alias("name", "value"))
+        .groupBy("name")
+        .agg(
+            F.bool_and(whole).alias("whole"),
+            F.bool_and(value.isin("true", "false")).alias("truth"),
+            F.bool_and(number).alias("number"),
+            F.bool_or(whole & (F.length(value) > 15)).alias("long"),
+        )
         .collect()
     )
-    if len(names) > MAX_METRIC_COLUMNS:
-        raise ValueError(f"{column!r} has more than {MAX_METRIC_COLUMNS} distinct keys")
+
+    def narrowest(r) -> str:
+        if r["number"] is None:  # no value at all
+            return "double"
+        if r["whole"] or r["truth"]:
+            return "bigint" if r["whole"] else "boolean"
+        return "double" if r["number"] and not r["long"] else "string"
+
+    return {r["name"]: narrowest(r) for r in sorted(found, key=lambda r: r["name"])}
+
+
+def metric_names(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct keys of a map column, which become a list of output columns."""
+    names = df.select(F.explode(F.map_keys(column)).alias("name")).distinct().collect()
     return sorted(r["name"] for r in names)
 
 
+def long_metrics(df: DataFrame, column: str = "aggregations") -> DataFrame:
+    """``(ticker, metric, value string)``: one row per key, for any number of different keys."""
+    return df.select("ticker", F.explode(column).alias("metric", "value"))
+
+
 def flatten(
     df: DataFrame,
     column: str,
     prefix: str = "",
-    keys: Sequence[str] | None = None,
+    keys: Sequence[str] | Mapping[str, str] | None = None,
     value_type: str | None = None,
 ) -> DataFrame:
-    """Replace a struct or map column by one column per key (``prefix_key`` when prefixed).
+    """Replace a struct or map column by one column per key (``prefix_key`` when prefixed). ``keys``
+    may give each key's type; ``value_type`` is that of keys without one.
 
     Struct fields keep their order and types; map keys come out sorted. Absent keys and null
     containers give nulls. A name that is already taken raises ``ValueError``.
@@ -125,7 +157,8 @@ def flatten(
             value = F.col(column)[name]
         else:
             value = F.try_element_at(F.col(column), F.lit(name))
-        flat.append((value.try_cast(value_type) if value_type else value).alias(alias))
+        kind = keys[name] if isinstance(keys, Mapping) else value_type
+        flat.append((value.try_cast(kind) if kind else value).alias(alias))
     position = df.columns.index(column)
     others = [F.col(f"`{c}`") for c in df.columns]
     return df.select(*others[:position], *flat, *others[position + 1 :])
@@ -147,19 +180,28 @@ def flatten_json_text(
 def aligned_metrics(df: DataFrame, column: str = "aggregations") -> DataFrame:
     """One wide table over records whose metric sets differ: the union of all keys, sorted, null
     where a record lacks one. A projection, so nothing is shuffled apart from the key names."""
-    return flatten(df, column, keys=metric_names(df, column), value_type="double")
+    return flatten(df, column, keys=metric_types(df, column))
 
 
 def flattened_companies(
     companies: DataFrame,
-    metrics: Sequence[str] | None = None,
-    updates: Sequence[str] | None = None,
+    metrics: Sequence[str] | Mapping[str, str] | None = None,
+    updates: Sequence[str] | Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Company details with metrics and update times as columns. Key lists may be given to spare
-    the two passes that find them."""
-    wide = flatten(company_details(companies), "aggregations", keys=metrics, value_type="double")
-    keys = updates if updates is not None else metric_names(companies, "lastUpdated")
-    wide = flatten(wide, "lastUpdated", prefix="last_updated", keys=keys)
+    """Company details with metrics and update times as columns of the types that hold all their
+    values. Keys, with their types, may be given to spare the two passes that find them; keys without
+    types keep their text."""
+    wide = flatten(
+        company_details(companies),
+        "aggregations",
+        keys=metrics if metrics is not None else metric_types(companies, "aggregations"),
+    )
+    wide = flatten(
+        wide,
+        "lastUpdated",
+        prefix="last_updated",
+        keys=updates if updates is not None else metric_types(companies, "lastUpdated"),
+    )
     return move_to_end(wide, "description")
 
 
@@ -189,7 +231,9 @@ __all__ = [
     "flatten",
     "flatten_json_text",
     "flattened_companies",
+    "long_metrics",
     "metric_names",
+    "metric_types",
     "move_to_end",
     "object_points",
     "prices_with_fallback",

@@ -201,26 +201,32 @@ def checked_entries(entries_: DataFrame) -> DataFrame:
 
 
 def repeats(rows: DataFrame, key: str) -> DataFrame:
-    """Every row that repeats the key of a row before it.
+    """Every row that repeats the key of a row before it, by ``pos``; of rows of one key at one position
+    (registries of several files), all but one. Null is a key like others.
 
-    Firsts are found by an aggregation that combines on the map side, and taken away by their unique
+    Firsts are found by an aggregation that combines on the map side, and taken away by key and
     position. No task ever gathers the rows of one key, however often it repeats.
     """
-    firsts = rows.groupBy(key).agg(F.min("pos").alias("pos")).select("pos")
-    return rows.join(firsts, "pos", "left_anti")
+    firsts = rows.groupBy(key).agg(F.min("pos").alias("first")).withColumnRenamed(key, "_key")
+    at_first = F.col(key).eqNullSafe(F.col("_key")) & (F.col("pos") == F.col("first"))
+    later = rows.join(firsts, at_first, "left_anti")
+    counted = rows.groupBy(key, "pos").agg(F.count("*").alias("_n")).where("_n > 1")
+    beside = counted.join(firsts, at_first, "left_semi")
+    copies = beside.select(*rows.columns, F.explode(F.sequence(F.lit(2).cast("long"), "_n")).alias("_copy"))
+    return later.unionByName(copies.drop("_copy"))
 
 
 def duplicate_ids(mapping: DataFrame) -> DataFrame:
     found = repeats(mapping.select("pos", "id"), "id")
-    return found.select("pos", F.concat(F.lit("Duplicate id detected: "), "id").alias("error"))
+    shown = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    return found.select("pos", F.concat(F.lit("Duplicate id detected: "), shown).alias("error"))
 
 
 def duplicate_tickers(mapping: DataFrame) -> DataFrame:
     rows = mapping.select("pos", canonical_ticker(F.col("ticker")).alias("ticker"))
     found = repeats(rows, "ticker")
-    return found.select(
-        "pos", F.concat(F.lit("Duplicate ticker detected: "), "ticker").alias("error")
-    )
+    shown = F.coalesce("ticker", F.lit("null"))
+    return found.select("pos", F.concat(F.lit("Duplicate ticker detected: "), shown).alias("error"))
 
 
 def mapping_errors(entries_: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def read_companies(
     for field in schema.fields:
         nothing_read = nothing_read & F.col(field.name).isNull()
     unreadable = F.col(_CORRUPT).isNotNull() & nothing_read
-    problem = F.concat(F.lit("Unexpected JSON structure: "), F.substring(_CORRUPT, 1, 80))
+    problem = F.concat(F.lit("Unexpected JSON structure: "), F.col(_CORRUPT))
     return docs.where(F.when(unreadable, F.raise_error(problem)).otherwise(F.lit(True))).drop(
         _CORRUPT
     )
@@ -69,7 +69,7 @@ def read_prices(
     if fmt == "csv":
         reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
     elif fmt == "json":
-        reader = reader.option("multiLine", multi_line)
+        reader = reader.option("multiLine", multi_line).option("allowNonNumericNumbers", False)
     return reader.format(fmt).load(path if isinstance(path, str) else list(path))
 
 

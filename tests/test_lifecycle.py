@@ -6,7 +6,7 @@ from marketframe.operators.reports import ingest_counts, list_status, status_sum
 from marketframe.operators.selection import status_matrix
 from marketframe.plans import ingest, setup, update
 
-from .conftest import ACME, GLBX
+from .conftest import NOVA, QRTZ
 
 MAPPING = "pos long, id long, name string, ticker string"
 
@@ -28,7 +28,7 @@ def mapping(spark, *tickers):
 def test_normalisation(spark):
     responses = landed(
         spark,
-        FULL=envelope(ACME),
+        FULL=envelope(NOVA),
         NONE=envelope("null"),
         EMPTY=envelope({}),
         BLANK=envelope({"indices": None, "exchanges": 0, "aggregations": "", "insights": False}),
@@ -51,16 +51,16 @@ def test_normalisation(spark):
     assert log["TEXT"][1] == "record: not a valid object"
     assert log["SHAPE"][1] == "Unexpected response shape for SHAPE"
     companies = {r.id: r for r in result.companies.collect()}
-    assert companies[10].name == "Acme Corp" and companies[10].ticker == "ACME"
+    assert companies[10].name == "Nova Tidal Works" and companies[10].ticker == "NOVA"
     assert companies[11].name == "Name NONE" and companies[11].ticker == "NONE"
     assert companies[13].indices == [] and companies[13].aggregations == {}
     assert {r.company_id for r in result.prices.collect()} == {10}
-    assert result.prices.count() == 4
+    assert result.prices.count() == 5
 
 
 def test_resume_and_absent_responses(spark):
     existing = spark.createDataFrame([("A",)], "ticker string")
-    result = ingest(landed(spark, A="{}", B=envelope(GLBX)), mapping(spark, "A", "B", "C"), existing)
+    result = ingest(landed(spark, A="{}", B=envelope(QRTZ)), mapping(spark, "A", "B", "C"), existing)
     assert {r.ticker: r.status for r in result.log.collect()} == {
         "A": "skipped", "B": "fetched", "C": "error",
     }
@@ -68,15 +68,15 @@ def test_resume_and_absent_responses(spark):
 
 
 def test_setup(spark):
-    requests = spark.createDataFrame([(0, "acme", None)], "pos long, ticker string, name string")
-    registry, result = setup(spark, requests, landed(spark, ACME=envelope(ACME)))
-    assert [tuple(r) for r in registry.collect()] == [(0, 1, "ACME", "ACME")]
+    requests = spark.createDataFrame([(0, "nova", None)], "pos long, ticker string, name string")
+    registry, result = setup(spark, requests, landed(spark, NOVA=envelope(NOVA)))
+    assert [tuple(r) for r in registry.collect()] == [(0, 1, "NOVA", "NOVA")]
     assert result.companies.head().id == 1
 
 
 def test_update(spark, tmp_path):
-    responses = landed(spark, ACME=envelope(ACME), GLBX=envelope(GLBX), BAD="{}")
-    targets = mapping(spark, "ACME", "GLBX", "BAD")
+    responses = landed(spark, NOVA=envelope(NOVA), QRTZ=envelope(QRTZ), BAD="{}")
+    targets = mapping(spark, "NOVA", "QRTZ", "BAD")
     report = update(responses, targets, str(tmp_path / "out"))
     assert {(r.step, r.item): r.n for r in report.collect()} == {
         ("ingest", "success"): 2,
@@ -93,10 +93,10 @@ def test_update(spark, tmp_path):
 
 def test_update_resumes_on_top_of_earlier_data(spark, tmp_path):
     root = str(tmp_path / "out")
-    targets = mapping(spark, "ACME", "GLBX")
-    update(landed(spark, ACME=envelope(ACME)), targets, root, by_ticker=True)
-    done = spark.createDataFrame([("ACME",)], "ticker string")
-    report = update(landed(spark, GLBX=envelope(GLBX)), targets, root, existing=done, by_ticker=True)
+    targets = mapping(spark, "NOVA", "QRTZ")
+    update(landed(spark, NOVA=envelope(NOVA)), targets, root, by_ticker=True)
+    done = spark.createDataFrame([("NOVA",)], "ticker string")
+    report = update(landed(spark, QRTZ=envelope(QRTZ)), targets, root, existing=done, by_ticker=True)
     found = {(r.step, r.item): r.n for r in report.collect()}
     assert found[("ingest", "success")] == 2 and found[("convert", "converted")] == 2
     assert found[("convert", "price_rows")] == 8
@@ -111,3 +111,12 @@ def test_status_labels(spark):
     labels = {r.ticker: r.status for r in list_status(matrix).collect()}
     assert labels == {"A": "Complete", "B": "JSON, Parquet", "C": "No data"}
     assert tuple(status_summary(matrix).head()) == (3, 2, 1)
+
+
+def test_one_response_per_ticker(spark):
+    rows = [("NOVA", envelope(NOVA)), (" nova", envelope(NOVA.replace("Tidal", "Wind"))), ("NOVA", envelope(NOVA))]
+    result = ingest(spark.createDataFrame(rows, "ticker string, payload string"), mapping(spark, "NOVA"))
+    assert result.companies.count() == 1 and result.prices.count() == 5
+    assert {(r.status, r.error) for r in result.log.collect()} == {
+        ("fetched", None), ("duplicate", "2 further responses for NOVA"),
+    }

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from marketframe.operators import validation
 from marketframe.operators import registry
 
 MAPPING = "pos long, id long, name string, ticker string"
@@ -67,3 +68,9 @@ def test_resequence_file_counts_every_element(spark):
     )
     found = registry.resequence_entries(entries).select("pos", "new_id")
     assert rows(found) == [(0, "1"), (1, None), (2, "3")]
+
+
+def test_repeats_without_unique_positions(spark):
+    rows = [(0, 7, "A"), (0, 7, "B"), (1, None, "A"), (2, None, "C")]
+    found = validation.duplicate_ids(spark.createDataFrame(rows, "pos long, id long, ticker string"))
+    assert sorted(r.error for r in found.collect()) == ["Duplicate id detected: 7", "Duplicate id detected: null"]

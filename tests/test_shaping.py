@@ -13,11 +13,11 @@ from marketframe.schemas import PRICE_SCHEMA
 def test_flattened_sample(sample_companies):
     flat = shaping.flattened_companies(sample_companies)
     assert flat.columns == [
-        "id", "name", "ticker", "sector", "industry", "indices", "exchanges", "market_cap", "pe",
+        "id", "name", "ticker", "sector", "industry", "indices", "exchanges", "market_cap", "pe", "rating",
         "last_updated_fundamentals", "last_updated_stock_price", "description",
     ]
-    row = flat.where("ticker = 'ACME'").head()
-    assert (row.pe, row.market_cap, row.last_updated_stock_price) == (20.0, 1e9, "2024-04-01")
+    row = flat.where("ticker = 'NOVA'").head()
+    assert (row.pe, row.market_cap, row.rating, row.last_updated_stock_price) == (17, 730_000_000, "BBB+", "2021-06-06")
 
 
 def test_collision_is_refused(spark):
@@ -66,23 +66,23 @@ def test_aligned_metrics(spark):
                    "union all select 2, map('c', '3') union all select 3, null")
     wide = shaping.aligned_metrics(df).orderBy("id")
     assert wide.columns == ["id", "a", "b", "c"]
-    assert [tuple(r)[1:] for r in wide.collect()] == [(None, 1.0, None), (None, None, 3.0), (None,) * 3]
+    assert [tuple(r)[1:] for r in wide.collect()] == [("x", 1, None), (None, None, 3), (None,) * 3]
 
 
 def test_fallback_is_per_ticker(spark, sample_companies, prices):
-    own = prices({"ACME": [1.0, 2.0]})
+    own = prices({"NOVA": [1.0, 2.0]})
     found = shaping.prices_with_fallback(own, sample_companies)
     counts = {r.ticker: r["count"] for r in found.groupBy("ticker").count().collect()}
-    assert counts == {"ACME": 2, "GLBX": 4}
+    assert counts == {"NOVA": 2, "QRTZ": 3}
     empty = shaping.prices_with_fallback(prices({}), sample_companies)
     assert empty.count() == 8
 
 
 def test_targets(spark):
-    mapping = spark.createDataFrame([(0, 4, "Acme", "ACME")], "pos long, id long, name string, ticker string")
-    wanted = spark.createDataFrame([(" acme",), ("new",), ("NEW ",)], "ticker string")
+    mapping = spark.createDataFrame([(0, 4, "Nova", "NOVA")], "pos long, id long, name string, ticker string")
+    wanted = spark.createDataFrame([(" nova",), ("new",), ("NEW ",)], "ticker string")
     rows = {tuple(r) for r in select_targets(wanted, mapping).collect()}
-    assert rows == {(4, "Acme", "ACME"), (0, "NEW", "NEW")}
+    assert rows == {(4, "Nova", "NOVA"), (0, "NEW", "NEW")}
 
 
 def test_status_matrix_without_data(spark):
@@ -96,4 +96,21 @@ def test_no_python_workers(spark, sample_companies):
     flat = shaping.stringify_nested(shaping.flattened_companies(sample_companies, ["pe"], ["stock_price"]))
     plan = flat._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
-    assert flat.where(F.col("indices") == '["SP500"]').count() == 2
+    assert flat.where(F.col("indices") == '["NORTH30"]').count() == 1
+
+
+def test_metric_kinds_are_kept(spark):
+    rows = [("A", {"n": "9007199254740993", "r": "AAA", "b": "true", "d": "1", "z": "007"}), ("B", {"n": "2", "d": "2.5", "m": "9007199254740993"}), ("C", {"m": "0.5", "e": None})]
+    df = spark.createDataFrame(rows, "ticker string, aggregations map<string,string>")
+    assert shaping.metric_types(df, "aggregations") == {
+        "b": "boolean", "d": "double", "e": "double", "m": "string", "n": "bigint", "r": "string", "z": "string",
+    }
+    row = shaping.aligned_metrics(df).where("ticker = 'A'").head()
+    assert (row.n, row.r, row.b, row.d, row.z) == (9007199254740993, "AAA", True, 1.0, "007")
+    assert shaping.long_metrics(df).count() == 10
+
+
+def test_keys_that_differ_by_case_are_refused(spark):
+    df = spark.createDataFrame([("A", {"PE": "1", "pe": "2"})], "ticker string, aggregations map<string,string>")
+    with pytest.raises(ValueError, match="pe"):
+        shaping.aligned_metrics(df)

@@ -32,10 +32,10 @@ def test_csv_is_what_other_readers_expect(spark, tmp_path, sample_companies):
     part = next(p for p in path.glob("part-*.csv"))
     with part.open(newline="", encoding="utf-8") as f:
         found = {r["ticker"]: r for r in csv.DictReader(f)}
-    assert json.loads(found["ACME"]["indices"]) == ["SP500"]
-    assert found["ACME"]["market_cap"] == "1000000000.0"
-    assert list(found["ACME"])[-1] == "description"
-    assert part.read_text().count('[""SP500""]') == 2
+    assert json.loads(found["NOVA"]["indices"]) == ["NORTH30"]
+    assert found["NOVA"]["market_cap"] == "730000000"
+    assert list(found["NOVA"])[-1] == "description"
+    assert part.read_text().count('[""NORTH30""]') == 1
 
 
 def test_empty_prices_leave_a_header_and_nothing_stale(spark, tmp_path, prices):
@@ -118,3 +118,9 @@ def test_saved_table(spark, prices):
         assert spark.table("saved_prices").count() == 1
     finally:
         spark.sql("DROP TABLE IF EXISTS saved_prices")
+
+
+def test_only_asked_formats_are_written(spark, tmp_path, sample_companies):
+    convert(sample_companies, str(tmp_path / "out"), formats=("csv",))
+    assert (tmp_path / "out" / "csv").exists()
+    assert not (tmp_path / "out" / "parquet").exists() and not (tmp_path / "out" / "sql").exists()

@@ -13,12 +13,12 @@ from marketframe.sources import (
     with_path_ticker,
 )
 
-from .conftest import ACME, GLBX
+from .conftest import NOVA, QRTZ
 
 
 @pytest.mark.parametrize(
     "body, count",
-    [(f"[{ACME},\n {GLBX}]", 2), (ACME, 1), ("[]", 0), ("\n[\n" + GLBX + "\n]\n", 1)],
+    [(f"[{NOVA},\n {QRTZ}]", 2), (NOVA, 1), ("[]", 0), ("\n[\n" + QRTZ + "\n]\n", 1)],
 )
 def test_array_object_or_nothing(spark, write, body, count):
     assert read_companies(spark, write("c.json", body)).count() == count
@@ -38,20 +38,20 @@ def test_missing_file_fails(spark, tmp_path):
 
 def test_lines(spark, sample_lines):
     docs = typed_companies(read_companies(spark, sample_lines, lines=True))
-    assert [(r.id, r.ticker) for r in docs.orderBy("id").collect()] == [(1, "ACME"), (2, "GLBX")]
+    assert [(r.id, r.ticker) for r in docs.orderBy("id").collect()] == [(1, "NOVA"), (2, "QRTZ")]
     assert unnest_prices(docs).count() == 8
 
 
 def test_odd_values_do_not_spread(spark, write):
     body = (
         '{"id": "7", "ticker": "x", "aggregations": {"a": "n/a", "b": 2, "c": {"d": 1}},'
-        ' "insights": {"stock_price": [{"ts": 1, "value": "2.5"}, 3, null, {"ts": 2, "value": 4}]}}'
+        ' "insights": {"stock_price": [{"ts": 1, "value": "2.5"}, 3, null, {"ts": 3, "value": "Infinity"}, {"ts": 5, "value": "-Infinity"}, {"ts": 2, "value": 4}]}}'
     )
     record = typed_companies(read_companies(spark, write("c.json", body)))
     row = record.select("id", "aggregations", "indices").head()
     assert row.id == 7 and row.aggregations["b"] == "2" and row.indices == []
     points = unnest_prices(record).select("ts", "value", "pos").orderBy("pos").collect()
-    assert [tuple(p) for p in points] == [(1, None, 0), (2, 4.0, 1)]
+    assert [tuple(p) for p in points] == [(1, None, 0), (3, None, 1), (5, None, 2), (2, 4.0, 3)]
 
 
 def test_mapping_keeps_order(spark, write):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketframe.operators import validation
 from marketframe.sources import document_lines, read_document_text
 
-from .conftest import ACME, GLBX
+from .conftest import NOVA, QRTZ
 
 
 def records(spark, *bodies):
@@ -29,7 +29,7 @@ def test_samples_are_valid(spark, write, sample_lines):
     lines = validation.document_records(document_lines(spark, sample_lines))
     count = validation.valid_count(validation.checked_records(lines)).head()
     assert tuple(count) == (2, 0)
-    whole = read_document_text(spark, write("c.json", f"[{ACME},\n{GLBX}]"))
+    whole = read_document_text(spark, write("c.json", f"[{NOVA},\n{QRTZ}]"))
     count = validation.valid_count(validation.checked_records(validation.document_records(whole)))
     assert tuple(count.head()) == (2, 0)
 
@@ -77,7 +77,7 @@ def test_unknown_keys_are_ignored(spark):
 
 
 def test_array_with_non_objects(spark):
-    checked = records(spark, f"[{ACME}, 3, null]")
+    checked = records(spark, f"[{NOVA}, 3, null]")
     errors = validation.record_errors(checked).orderBy("record_index").collect()
     assert [e.error for e in errors] == [
         "Record 2: record: not a valid object",
