@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .packing import blocks
 
+#: Characters encoded at a time.
+BLOCK_CHARS = 3_000_000
 #: Encoded words, and chunks of words, kept per Python worker; beyond it a table starts anew.
 KEPT_WORDS = 300_000
 #: Longer words are encoded each time they occur in a block instead of being kept.
@@ -142,7 +144,8 @@ class CorpusEncoder:
                 cut.update(set(rest).difference(chunks))
             else:
                 rows.append((self.matches(text), []))
-        parts = {c: self.matches(c if c[0] == "\n" else " " + c) for c in cut}
+        # A blank and letters only are one match.
+        parts = {c: [f" {c}"] if c.isalpha() else self.matches(c if c[0] == "\n" else f" {c}") for c in cut}
         need: set[str] = set()
         for found in (*parts.values(), *(row[0] for row in rows)):
             need.update(found)
@@ -179,7 +182,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         corpus = _encoder(ranks, pattern)
         for batch in batches:
             texts = batch.column(1)
-            for begin, stop in blocks("" if t is None else t for t in texts.to_pylist()):
+            for begin, stop in blocks(("" if t is None else t for t in texts.to_pylist()), BLOCK_CHARS):
                 some = corpus.encode([t or "" for t in texts[begin:stop].to_pylist()])
                 ends = np.cumsum([0, *(len(b) // 4 for b in some)], dtype=np.int32)
                 flat = pa.array(np.frombuffer(b"".join(some), "<i4"), pa.int32())
