@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialized
 from .selection import valid_prices
-from .series import HOT_ROWS, SHORT_TAIL, running, tail, with_drawdown, with_returns
+from .series import HOT_ROWS, TAIL_GROUPS, running, tail, with_drawdown, with_returns
 
 # Trading days in a year, default number of observations.
 TRADING_DAYS = 252
@@ -44,12 +45,17 @@ METRICS = (
 )
 
 
+def _fits(horizon: int, hot_rows: int | None) -> bool:
+    """Whether a tail of this length is a light load for one task."""
+    return hot_rows is None or horizon * TAIL_GROUPS <= hot_rows
+
+
 def observed(
     prices: DataFrame, horizon: int = DEFAULT_HORIZON, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """The points the metrics look at, with previous value, return, running maximum, drawdown."""
     window = tail(valid_prices(prices), horizon, hot_rows)
-    series = running(window, bounded=0 < horizon <= SHORT_TAIL, hot_rows=hot_rows)
+    series = running(window, bounded=horizon > 0 and _fits(horizon, hot_rows), hot_rows=hot_rows)
     return with_drawdown(with_returns(series))
 
 
@@ -61,8 +67,9 @@ def price_metrics(
 ) -> DataFrame:
     """One row per ticker with the chosen metrics. The horizon counts observations, not days.
 
-    Tail window, ordered window and aggregation share one exchange on ``ticker``. Windows that no
-    chosen metric reads are pruned from the plan.
+    Last tail window, ordered window and aggregation share one exchange on ``ticker``; before it the
+    tails of groups of map tasks take another, which carries at most ``horizon`` points per ticker and
+    task. Windows that no chosen metric reads are pruned from the plan.
     """
     chosen = _expressions()
     return (
@@ -82,12 +89,16 @@ def metrics_report(
     """Metrics for the requested tickers, or the reason there are none.
 
     ``datasets`` lists the tickers whose price dataset exists, for telling a missing dataset from
-    an empty one; without it a ticker without points counts as empty.
+    an empty one; without it a ticker without points counts as empty. Prices are narrowed to the
+    requested known tickers first: that list is written once, so its size is known when the joins are
+    planned and a small request prunes the scan's rows before any shuffle.
     """
     wanted = requested.select(F.upper("ticker").alias("ticker")).distinct()
-    known = companies.select("ticker").distinct().withColumn("known", F.lit(True))
-    points = prices.groupBy("ticker").agg(F.count("*").alias("points"))
-    metrics = price_metrics(prices, horizon)
+    known = companies.join(wanted, "ticker", "left_semi").select("ticker").distinct()
+    known = materialized(known.withColumn("known", F.lit(True)), "report-known")
+    asked = prices.join(known, "ticker", "left_semi")
+    points = asked.groupBy("ticker").agg(F.count("*").alias("points"))
+    metrics = price_metrics(asked, horizon)
     report = wanted.join(known, "ticker", "left").join(points, "ticker", "left")
     if datasets is not None:
         landed = datasets.select("ticker").distinct().withColumn("landed", F.lit(True))

@@ -1,130 +1,88 @@
 """Price series in order, with no task holding a whole hot ticker.
 
-Points are ordered by ``(ts NULLS FIRST, pos)`` within a ticker. A ticker that holds more than
-``hot_rows`` points is cut into time segments, and a segment that is still too full (points crowd
-together in time, or have no time at all) is cut once more. Every window runs within
-``(ticker, segment, part)`` and takes what came before (count, maximum, last value) from a small
-carry table. Cold tickers form a single segment; the initial plan still holds the branches for hot
-ones, and the one that runs without any has two exchanges.
-
-The small tables have a bound that does not depend on the data. Of the tickers above ``hot_rows``
-only the ``MAX_HOT`` largest are cut; that leaves no other ticker above ``total / MAX_HOT`` points. The
-threshold for pieces is ``max(hot_rows, points of cut tickers / MAX_HOT)``, so at most ``MAX_HOT``
-segments are too full, and at most ``2 * (SPREAD + 1) * MAX_HOT`` pieces arise. That is what makes
-broadcasting them safe. Which tickers are cut has no influence on any result.
+Points are ordered by ``(ts NULLS FIRST, pos)`` within a ticker. Tickers of at most ``hot_rows``
+points share one exchange on ``ticker``. Those above it are placed once by ranges of
+``(ticker, ts, pos)`` and written to shared storage; each range partition is a piece of the order, so
+points that crowd on one time or position are split like any others. Windows then run within
+``(ticker, piece)`` and take what came before (count, maximum, last value) from a carry table with one
+row per ticker and piece.
+
+Finding the hot tickers is one aggregation that combines on the map side; it runs while the plan is
+built, and without hot tickers their branch is not planned at all. No number of tickers or pieces is
+bounded in advance, so nothing here is broadcast by hint: Spark decides by size. Where a ticker is cut
+has no influence on any result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialized
+
 #: Points of one ticker that a single task may hold before the ticker is cut.
 HOT_ROWS = 2_000_000
-#: Upper bound on the number of hot tickers, and of segments to be cut again.
-MAX_HOT = 10_000
-#: Pieces are this much narrower than the threshold asks, to absorb uneven spacing.
-SPREAD = 4
-#: A tail longer than this is taken piece by piece.
-SHORT_TAIL = 1_000
+#: Range partitions are planned this much smaller than ``hot_rows``, since their borders are sampled.
+SLACK = 2
+#: Groups of map tasks whose tails are cut separately before a ticker's last points meet in one task.
+TAIL_GROUPS = 256
 
-_PIECE = ["ticker", "segment", "part"]
+_PIECE = ["ticker", "piece"]
 
 
-def _width(first: str, last: str) -> str:
-    return f"greatest(1L, ceil(double({last} - {first} + 1) * threshold / (n * {SPREAD})))"
+def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(ticker, n)`` of the tickers with more than ``hot_rows`` points, written once."""
+    sizes = prices.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    return materialized(sizes, "hot-tickers")
 
 
-def hot_tickers(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The tickers to cut, with the threshold and the origin and width of their segments. Sizes
-    combine on the map side; the window that adds them up runs over at most ``MAX_HOT`` rows."""
-    return (
-        prices.groupBy("ticker")
-        .agg(
-            F.expr("count(*) AS n"),
-            F.expr("min(ts) AS first_ts"),
-            F.expr("max(ts) AS last_ts"),
-        )
-        .where(f"n > {hot_rows}")
-        .orderBy(F.desc("n"), "ticker")
-        .limit(MAX_HOT)
-        .selectExpr(
-            "*",
-            f"greatest(double({hot_rows}), sum(n) OVER (PARTITION BY 0) / {MAX_HOT}) AS threshold",
-        )
-        .selectExpr("ticker", "threshold", "first_ts", f"{_width('first_ts', 'last_ts')} AS ts_width")
-    )
+def _same_ticker(prices: DataFrame, hot: DataFrame):
+    return prices["ticker"].eqNullSafe(hot["ticker"])
 
 
-def _segmented(prices: DataFrame, hot: DataFrame, how: str) -> DataFrame:
-    """Add ``segment``: 0 for cold tickers, a stretch of time for hot ones, -1 for their points
-    without a time, which come first in the order."""
-    return prices.join(F.broadcast(hot), "ticker", how).selectExpr(
-        "* EXCEPT (first_ts, ts_width)",
-        "CASE WHEN threshold IS NULL THEN 0L "
-        "ELSE coalesce(floor((ts - first_ts) / ts_width), -1L) END AS segment",
-    )
+def split_by_heat(prices: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The points of ordinary tickers, and the placed points of hot ones (None without any)."""
+    hot = hot_tickers(prices, hot_rows)
+    total = hot.agg(F.sum("n")).head()[0]
+    if not total:
+        return prices, None
+    cold = prices.join(hot, _same_ticker(prices, hot), "left_anti")
+    return cold, placed(prices.join(hot, _same_ticker(prices, hot), "left_semi"), total, hot_rows)
 
 
-class _Cuts:
-    """The pieces of a price table."""
-
-    def __init__(self, prices: DataFrame, hot_rows: int) -> None:
-        self.prices = prices
-        self.hot = hot_tickers(prices, hot_rows)
-        self.full = (
-            _segmented(prices, self.hot, "inner")
-            .groupBy("ticker", "segment", "threshold")
-            .agg(
-                F.expr("count(*) AS n"),
-                F.expr("min(ts) AS first_ts"),
-                F.expr("max(ts) AS last_ts"),
-                F.expr("min(pos) AS first_pos"),
-                F.expr("max(pos) AS last_pos"),
-            )
-            .where("n > threshold")
-            .selectExpr("*", "coalesce(last_ts > first_ts, false) AS by_time")
-            .selectExpr(
-                "ticker",
-                "segment",
-                "by_time",
-                "if(by_time, first_ts, first_pos) AS origin",
-                f"if(by_time, {_width('first_ts', 'last_ts')}, {_width('first_pos', 'last_pos')})"
-                " AS width",
-            )
-        )
+def placed(prices: DataFrame, total: int, hot_rows: int) -> DataFrame:
+    """``total`` points with ``piece``, their range partition in the order of ``(ticker, ts, pos)``;
+    written once, so that every later branch sees the same pieces."""
+    parts = math.ceil(total * SLACK / hot_rows)
+    ranged = prices.repartitionByRange(parts, "ticker", "ts", "pos")
+    return materialized(ranged.withColumn("piece", F.spark_partition_id()), "series-pieces")
 
-    def rows(self, how: str = "left") -> DataFrame:
-        """The points with ``segment`` and ``part``; ``how="inner"`` gives hot tickers only."""
-        return (
-            _segmented(self.prices, self.hot, how)
-            .join(F.broadcast(self.full), ["ticker", "segment"], "left")
-            .selectExpr(
-                "* EXCEPT (threshold, by_time, origin, width)",
-                "coalesce(floor((if(by_time, ts, pos) - origin) / width), 0L) AS part",
-            )
-        )
 
-    def carry(self) -> DataFrame:
-        """What precedes and follows each piece of a hot ticker."""
-        pieces = self.rows("inner").groupBy(*_PIECE).agg(
-            F.expr("count(*) AS n"),
-            F.expr("max(value) AS high"),
-            F.expr("max_by(value, struct(ts, pos)) AS last"),
-        )
-        order = "PARTITION BY ticker ORDER BY segment, part"
-        before = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-        return pieces.selectExpr(
-            *_PIECE,
-            f"coalesce(sum(n) OVER ({before}), 0L) AS prior_count",
-            f"sum(n) OVER (PARTITION BY ticker) - coalesce(sum(n) OVER ({before}), 0L) - n"
-            " AS later_count",
-            f"max(high) OVER ({before}) AS prior_high",
-            f"lag(last) OVER ({order}) AS prior_value",
-        )
+def carry(pieces: DataFrame) -> DataFrame:
+    """What precedes and follows each piece of a ticker."""
+    held = pieces.groupBy(*_PIECE).agg(
+        F.expr("count(*) AS n"),
+        F.expr("max(value) AS high"),
+        F.expr("max_by(value, struct(ts, pos)) AS last"),
+    )
+    order = "PARTITION BY ticker ORDER BY piece"
+    before = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    after = f"{order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    return held.selectExpr(
+        *_PIECE,
+        f"coalesce(sum(n) OVER ({before}), 0L) AS prior_count",
+        f"coalesce(sum(n) OVER ({after}), 0L) AS later_count",
+        f"max(high) OVER ({before}) AS prior_high",
+        f"lag(last) OVER ({order}) AS prior_value",
+    )
+
 
-    def with_carry(self, rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(self.carry()), _PIECE, "left")
+def _with_carry(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    known = carry(pieces).withColumnsRenamed({"ticker": "_ticker", "piece": "_piece"})
+    same = rows["ticker"].eqNullSafe(known["_ticker"]) & (rows["piece"] == known["_piece"])
+    return rows.join(known, same).drop("_ticker", "_piece")
 
 
 _OLDEST_FIRST = "ORDER BY ts ASC NULLS FIRST, pos ASC NULLS FIRST"
@@ -151,39 +109,49 @@ def running(
     """
     if bounded or hot_rows is None:
         return prices.selectExpr("*", *_running_columns("ticker"))
-    cuts = _Cuts(prices, hot_rows)
-    rows = cuts.rows().selectExpr("*", *_running_columns(", ".join(_PIECE)))
-    return cuts.with_carry(rows).selectExpr(
+    cold, pieces = split_by_heat(prices, hot_rows)
+    found = cold.selectExpr("*", *_running_columns("ticker"))
+    if pieces is None:
+        return found
+    rows = pieces.selectExpr("*", *_running_columns(", ".join(_PIECE)))
+    cut = _with_carry(rows, pieces).selectExpr(
         *[f"`{c}`" for c in prices.columns],
-        "observation + coalesce(prior_count, 0L) AS observation",
+        "observation + prior_count AS observation",
         "if(observation = 1, prior_value, previous) AS previous",
         "greatest(running_max, prior_high) AS running_max",
     )
+    return found.unionByName(cut)
+
+
+def _last(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    from_end = f"row_number() OVER (PARTITION BY {', '.join(keys)} {_LATEST_FIRST}) AS _from_end"
+    return rows.selectExpr("*", from_end).where(f"_from_end <= {n}").drop("_from_end")
 
 
 def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The last ``n`` points per ticker; 0 keeps all, a negative number is refused.
 
-    The ``row_number() <= n`` filter reaches the map side as a group limit, so a task sends at most
-    ``n`` points per ticker into the exchange: however hot a ticker is, its reducer gets no more
-    than ``n`` rows per map task, about the load of an ordinary shuffle partition. A longer tail is
-    cut piece by piece first.
+    ``row_number() <= n`` reaches the map side as a group limit, so a task sends at most ``n`` points
+    per ticker. Of a hot ticker those still come from every map task; they meet in ``TAIL_GROUPS``
+    groups of tasks first, and the last exchange brings at most ``TAIL_GROUPS * n`` points of a ticker
+    together. Tails too long for that to fit ``hot_rows`` are taken from the pieces instead.
     """
     if n < 0:
         raise ValueError("horizon must be 0 (all points) or positive")
     if n == 0:
         return prices
-    if n <= SHORT_TAIL or hot_rows is None:
-        from_end = f"row_number() OVER (PARTITION BY ticker {_LATEST_FIRST}) AS from_end"
-        return prices.selectExpr("*", from_end).where(f"from_end <= {n}").drop("from_end")
-    cuts = _Cuts(prices, hot_rows)
-    from_end = f"row_number() OVER (PARTITION BY {', '.join(_PIECE)} {_LATEST_FIRST}) AS from_end"
-    rows = cuts.rows().selectExpr("*", from_end).where(f"from_end <= {n}")
-    return (
-        cuts.with_carry(rows)
-        .where(f"from_end + coalesce(later_count, 0L) <= {n}")
-        .select(*prices.columns)
-    )
+    if hot_rows is None:
+        return _last(prices, n, "ticker")
+    if n * TAIL_GROUPS <= hot_rows:
+        grouped = prices.withColumn("_tasks", F.spark_partition_id() % TAIL_GROUPS)
+        return _last(_last(grouped, n, "ticker", "_tasks").drop("_tasks"), n, "ticker")
+    cold, pieces = split_by_heat(prices, hot_rows)
+    found = _last(cold, n, "ticker")
+    if pieces is None:
+        return found
+    from_end = f"row_number() OVER (PARTITION BY {', '.join(_PIECE)} {_LATEST_FIRST}) AS _from_end"
+    rows = _with_carry(pieces.selectExpr("*", from_end), pieces)
+    return found.unionByName(rows.where(f"_from_end + later_count <= {n}").select(*prices.columns))
 
 
 def with_returns(series: DataFrame) -> DataFrame:
@@ -220,11 +188,10 @@ def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> Da
     if hot_rows is None:
         chunked = prices.withColumns(whole)
     else:
-        hot = F.broadcast(hot_tickers(prices, hot_rows).select("ticker"))
-        cold = prices.join(hot, "ticker", "left_anti").withColumns(whole)
-        chunked = cold.unionByName(
-            _chunks(prices.join(hot, "ticker", "left_semi"), size, hot_rows).select(*cold.columns)
-        )
+        cold, pieces = split_by_heat(prices, hot_rows)
+        chunked = cold.withColumns(whole)
+        if pieces is not None:
+            chunked = chunked.unionByName(_chunks(pieces, size, hot_rows).select(*chunked.columns))
     frame = (
         f"PARTITION BY ticker, chunk {_OLDEST_FIRST} ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW"
     )
@@ -241,11 +208,12 @@ def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> Da
     )
 
 
-def _chunks(prices: DataFrame, size: int, hot_rows: int) -> DataFrame:
-    """Points with the chunks they take part in; ``own`` marks the one they belong to."""
+def _chunks(pieces: DataFrame, size: int, hot_rows: int) -> DataFrame:
+    """Placed points with the chunks they take part in; ``own`` marks the one they belong to."""
     length = max(hot_rows, size)
-    numbered = chronological(prices, hot_rows)
-    index = F.col("observation") - 1
+    within = f"row_number() OVER (PARTITION BY {', '.join(_PIECE)} {_OLDEST_FIRST}) AS _nth"
+    numbered = _with_carry(pieces.selectExpr("*", within), pieces)
+    index = F.col("prior_count") + F.col("_nth") - 1
     home = F.floor(index / length)
     shared = (index % length) >= length - (size - 1)
     return (

@@ -101,8 +101,8 @@ def random_series(seed: int):
 @pytest.mark.parametrize("horizon", [0, 5, 63])
 @pytest.mark.parametrize("hot_rows", [10, 10**6])
 def test_metrics_match_brute_force(spark, monkeypatch, horizon, hot_rows):
-    monkeypatch.setattr(series, "SHORT_TAIL", 20)
-    monkeypatch.setattr(metrics, "SHORT_TAIL", 20)
+    for module in (series, metrics):  # 5 is a short tail, 63 a long one when tickers are cut
+        monkeypatch.setattr(module, "TAIL_GROUPS", 2)
     rows, expected = random_series(horizon + hot_rows)
     table = spark.createDataFrame(rows, PRICE_DDL).repartition(5)
     found = by_ticker(metrics.price_metrics(table, horizon, hot_rows=hot_rows))
@@ -148,7 +148,7 @@ def test_rolling_matches_brute_force(spark, size, hot_rows):
 def test_tail_by_segments_matches_plain_tail(spark, monkeypatch, n):
     rows, expected = random_series(5)
     table = spark.createDataFrame(rows, PRICE_DDL)
-    monkeypatch.setattr(series, "SHORT_TAIL", 0)
+    monkeypatch.setattr(series, "TAIL_GROUPS", 11)
     found = series.tail(table, n, hot_rows=10).groupBy("ticker").agg(F.sum("value"), F.count("*"))
     assert {r[0]: (pytest.approx(r[1]), r[2]) for r in found.collect()} == {
         t: (sum(v[-n:]), len(v[-n:])) for t, v in expected.items()
@@ -162,6 +162,7 @@ def test_tail_by_segments_matches_plain_tail(spark, monkeypatch, n):
         "if(id = 0, 0, 10000000000 + id)",  # one outlier, the rest crowded together
         "cast(null as bigint)",  # no times at all
         "7",  # one single time
+        "if(id < 3900, 7, id)",  # one crowded time with neighbours
     ],
 )
 def test_hot_ticker_is_split(spark, ts):
@@ -169,21 +170,71 @@ def test_hot_ticker_is_split(spark, ts):
         "1L as company_id", "if(id % 3 = 0, 'HOT', concat('T', id % 500)) as ticker", f"{ts} as ts",
         "cast(id as double) as value", "0L as interval", "'USD' as valueUnit", "id as pos",
     )
-    cuts = series._Cuts(table, 100)
-    assert [r.ticker for r in cuts.hot.collect()] == ["HOT"]
-    pieces = cuts.rows().groupBy("ticker", "segment", "part").count()
-    assert pieces.agg(F.max("count")).head()[0] <= 100
-    assert pieces.where("ticker = 'HOT'").count() >= 13
-    assert pieces.agg(F.sum("count")).head()[0] == 4000
+    hot = series.hot_tickers(table, 100)
+    assert [tuple(r) for r in hot.collect()] == [("HOT", 1334)]
+    cold, pieces = series.split_by_heat(table, 100)
+    assert cold.count() + pieces.count() == 4000 and cold.where("ticker = 'HOT'").isEmpty()
+    sizes = pieces.groupBy("ticker", "piece").count()
+    assert sizes.agg(F.max("count")).head()[0] <= 100 and sizes.count() >= 13
     found = series.running(table.where("ticker = 'HOT'"), hot_rows=100)
     assert found.where("observation <> value / 3 + 1 or running_max <> value").count() == 0
     assert found.where("previous <> value - 3").count() == 0
 
 
+def test_crowd_far_from_its_first_position_is_split(spark):
+    table = spark.range(4000).selectExpr(
+        "1L as company_id", "'HOT' as ticker", "7L as ts", "cast(id as double) as value",
+        "0L as interval", "'USD' as valueUnit", "if(id = 0, 0L, 10000000000 + id) as pos",
+    )
+    pieces = series.split_by_heat(table, 100)[1]
+    assert pieces.groupBy("piece").count().agg(F.max("count")).head()[0] <= 100
+    assert series.running(table, hot_rows=100).where("observation <> value + 1").isEmpty()
+
+
+def test_null_ticker_is_a_ticker(spark):
+    table = spark.range(300).selectExpr(
+        "1L as company_id", "if(id < 280, cast(null as string), 'A') as ticker", "id as ts",
+        "cast(id as double) as value", "0L as interval", "'USD' as valueUnit", "id as pos",
+    )
+    found = series.running(table, hot_rows=50)
+    assert found.where("ticker is null and observation = value + 1").count() == 280
+    assert series.tail(table, 60, hot_rows=50).count() == 80
+
+
+def test_cold_and_hot_plans_are_bounded(spark):
+    table = spark.range(4000).selectExpr(
+        "1L as company_id", "if(id % 3 = 0, 'HOT', concat('T', id % 500)) as ticker", "id as ts",
+        "cast(id as double) as value", "0L as interval", "'USD' as valueUnit", "id as pos",
+    )
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert planned(series.running(table)).count("Exchange") == 1
+    hot = planned(series.running(table, hot_rows=100))
+    assert hot.count("Exchange hashpartitioning") <= 6 and hot.count("FileScan") <= 3
+
+
+def test_tails_of_many_tasks_meet_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(series, "TAIL_GROUPS", 4)
+    table = spark.range(0, 4000, 1, 100).selectExpr(
+        "1L as company_id", "'HOT' as ticker", "id as ts", "cast(id as double) as value",
+        "0L as interval", "'USD' as valueUnit", "id as pos",
+    )
+    sent = []
+    plain = series._last
+
+    def watched(rows, n, *keys):
+        sent.append(rows.count())
+        return plain(rows, n, *keys)
+
+    monkeypatch.setattr(series, "_last", watched)
+    found = series.tail(table, 3)
+    assert sorted(r.ts for r in found.collect()) == [3997, 3998, 3999]
+    assert sent == [4000, 4 * 3]  # groups x n rows reach the last exchange, not tasks x n
+
+
 def test_flagship_plan(prices):
     plan = metrics.price_metrics(prices({"A": [1.0]}), 63)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("Exchange") == 2  # tails per group of tasks, then per ticker
+    assert plan.count("WindowGroupLimit") == 4
     assert "Python" not in plan and "SortAggregate" not in plan
 
 
