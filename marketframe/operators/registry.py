@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +16,34 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MAPPING_SCHEMA)
 
 
+#: Rows that one task numbers, at least while the order's sampled borders are even.
+PIECE_ROWS = 2_000_000
+
+
 def number_rows(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     """Dense 1..N numbers in the order of unique sort columns, without one task seeing all rows.
 
-    Rows are range-partitioned and written once to shared storage, so that partition sizes and rows
-    come from the very same placement even if an executor is lost. The window over partition sizes
-    has one row per partition, a number fixed by the session setting.
+    Rows are counted, range-partitioned into pieces of about ``PIECE_ROWS``, sorted within them and
+    written once with their number in the piece, so that sizes and rows come from the very same
+    placement even if an executor is lost. What remains is to add the offsets of the pieces (one row
+    each, summed by the only window): the rows themselves are shuffled once.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(width, math.ceil(df.count() / PIECE_ROWS))
+    # The generated id is the piece in its upper bits and the number in the piece in its lower 33.
+    generated = F.monotonically_increasing_id()
     placed = materialized(
-        df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()),
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", generated),
         "numbered",
-    )
+    ).withColumn("_part", F.shiftrightunsigned("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        placed.join(offsets, "_part")
         .withColumn(name, (F.col("offset") + within).cast("bigint"))
-        .drop("_part", "offset")
+        .drop("_part", "_at", "offset")
     )
 
 

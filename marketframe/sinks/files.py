@@ -15,7 +15,8 @@ from ..functions import number_text
 from ..operators.shaping import stringify_nested
 
 
-def _writer(df: DataFrame, by_ticker: bool) -> DataFrameWriter:
+def layout(df: DataFrame, by_ticker: bool) -> DataFrameWriter:
+    """A writer that replaces the whole dataset, or by ticker only the tickers in ``df``."""
     if not by_ticker:
         return df.write.mode("overwrite")
     return (
@@ -28,7 +29,7 @@ def _writer(df: DataFrame, by_ticker: bool) -> DataFrameWriter:
 
 def write_json(df: DataFrame, path: str, by_ticker: bool = False) -> None:
     """JSON lines, which Spark can split again."""
-    _writer(df, by_ticker).option("ignoreNullFields", False).json(path)
+    layout(df, by_ticker).option("ignoreNullFields", False).json(path)
 
 
 def plain_numbers(df: DataFrame) -> DataFrame:
@@ -41,12 +42,12 @@ def write_csv(df: DataFrame, path: str, by_ticker: bool = False) -> None:
     """CSV with a header; nested columns as JSON text, quotes doubled. An empty table still
     overwrites what was there."""
     flat = plain_numbers(stringify_nested(df))
-    _writer(flat, by_ticker).option("header", True).option("escape", '"').csv(path)
+    layout(flat, by_ticker).option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, by_ticker: bool = False) -> None:
     """Parquet; nested columns stay nested."""
-    _writer(df, by_ticker).parquet(path)
+    layout(df, by_ticker).parquet(path)
 
 
 def write_table(df: DataFrame, name: str) -> None:

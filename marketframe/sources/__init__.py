@@ -7,11 +7,14 @@ from .documents import (
     read_prices,
     with_path_ticker,
 )
+from .inventory import inventory, listed_tickers
 from .registry import mapping_from_entries, read_mapping, read_mapping_entries
 from .responses import unwrap_responses
 
 __all__ = [
     "document_lines",
+    "inventory",
+    "listed_tickers",
     "mapping_from_entries",
     "read_companies",
     "read_document_text",

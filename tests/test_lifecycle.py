@@ -2,9 +2,13 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from marketframe.operators.reports import ingest_counts, list_status, status_summary
 from marketframe.operators.selection import status_matrix
 from marketframe.plans import ingest, setup, update
+from marketframe.sinks import write_json
+from marketframe.sources import inventory, read_mapping
 
 from .conftest import NOVA, QRTZ
 
@@ -120,3 +124,34 @@ def test_one_response_per_ticker(spark):
     assert {(r.status, r.error) for r in result.log.collect()} == {
         ("fetched", None), ("duplicate", "2 further responses for NOVA"),
     }
+
+
+def test_update_of_chosen_tickers(spark, tmp_path):
+    root = str(tmp_path / "out")
+    ask = lambda *t: spark.createDataFrame([(i, x, "") for i, x in enumerate(t)], "pos long, ticker string, name string")
+    update(landed(spark, NOVA=envelope(NOVA), QRTZ=envelope(QRTZ)), mapping(spark), root, by_ticker=True,
+           requests=ask("NOVA", "QRTZ"), validate=False)
+    before = {fmt: spark.read.text(f"{root}/{fmt}/company_details/ticker=QRTZ").collect() for fmt in ("json", "csv")}
+    report = update(landed(spark, NOVA=envelope(NOVA.replace("Tidal", "Wind")), NEW="{}"), mapping(spark, "NOVA", "QRTZ"), root,
+                    by_ticker=True, requests=ask(" nova", "new"), check_registry=True)
+    found = {(r.step, r.item): r.n for r in report.collect()}
+    assert found[("ingest", "success")] == 1 and found[("ingest", "errors")] == 1
+    assert found[("convert", "converted")] == 1 and found[("validate", "mapping_errors")] == 0
+    registered = {(r.id, r.ticker) for r in read_mapping(spark, f"{root}/registry", lines=True).collect()}
+    assert registered == {(10, "NOVA"), (11, "QRTZ"), (12, "NEW")}
+    for fmt, rows in before.items():
+        assert spark.read.text(f"{root}/{fmt}/company_details/ticker=QRTZ").collect() == rows
+        nova = spark.read.text(f"{root}/{fmt}/company_details/ticker=NOVA").collect()
+        assert any("Nova Wind Works" in r.value for r in nova)
+    for rows in inventory(spark, root).values():
+        assert {r.ticker for r in rows.collect()} == {"NOVA", "QRTZ"}
+    with pytest.raises(ValueError):
+        update(landed(spark), mapping(spark), root, requests=ask("NOVA"))
+
+
+def test_inventory_of_odd_names_and_of_nothing(spark, tmp_path, prices):
+    path = str(tmp_path / "json" / "company_details")
+    write_json(prices({"BRK/B": [1.0], "A+B": [1.0], "7": [1.0], "X Y%": [1.0]}), path, by_ticker=True)
+    found = inventory(spark, str(tmp_path))
+    assert {r.ticker for r in found["json"].collect()} == {"BRK/B", "A+B", "7", "X Y%"}
+    assert found["sql"].isEmpty()
