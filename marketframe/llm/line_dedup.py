@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from marketframe.workspace import materialized
 from . import bitmap
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_PRIME = (1 << 61) - 1
-_BASE = 1_000_003 * 998_244_353 % _PRIME
+_HALVES = [f"half{i}" for i in range(4)]
+#: Odd multipliers for hashing, and the inverse of the first modulo 2**64.
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 #: Places are decimals: document id, nine digits of its text's hash, ten digits of the line number.
 _LINE, _TEXT = 10**10, 10**19
@@ -54,57 +57,91 @@ def _lines(keyed: DataFrame, text_col: str) -> DataFrame:
 
 
 def _occurrences(keyed: DataFrame, text_col: str, min_words: int, near_words: int) -> DataFrame:
-    """``(place, h1, h2, halves)`` of every line long enough."""
-    lines = _lines(keyed, text_col).select("place", _words(F.col("line")).alias("w"))
-    n = F.size("w")
-
-    def halves(b: Column) -> list[Column]:
-        first = F.floor(b / 2).cast("int")
-        return [
-            F.xxhash64(F.lit(1), b, F.slice("w", F.lit(1), first)),
-            F.xxhash64(F.lit(2), b, F.slice("w", n - (b - first) + 1, b - first)),
-        ]
-
-    return lines.where(n >= min_words).select(
-        "place",
-        F.xxhash64("w").alias("h1"),
-        F.xxhash64(F.lit(7), F.col("w")).alias("h2"),
-        F.when(n >= near_words, F.array(*halves(n), *halves(n - 1))).alias("halves"),
-    )
+    """``(place, h1, h2, half0 .. half3)`` of every line long enough; the halves are null below
+    ``near_words``. Lines leave a task in runs of bounded length, whatever the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        whole, part = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
+        for batch in batches:
+            rows: list[int] = []
+            numbers: list[int] = []
+            hashes: list[bytes] = []
+            short: list[bool] = []
+
+            def table() -> pa.RecordBatch:
+                h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 6)
+                halves = [pa.array(h[:, i], mask=np.array(short)) for i in range(2, 6)]
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), *halves]
+                return pa.RecordBatch.from_arrays(columns, ["_base", "no", "h1", "h2", "half0", "half1", "half2", "half3"])
+
+            for row, text in enumerate(batch.column(1)):
+                for no, line in enumerate((text.as_py() or "").lower().encode().split(b"\n")):
+                    w = line.split()  # bytes are cut at ASCII white space
+                    n = len(w)
+                    if n < min_words:
+                        continue
+                    rows.append(row)
+                    numbers.append(no)
+                    hashes.append(whole(b" ".join(w)))
+                    short.append(n < near_words)
+                    if n < near_words:
+                        hashes.append(bytes(32))
+                    else:
+                        for length in (n, n - 1):
+                            first = length // 2
+                            hashes.append(part(b" ".join(w[:first]), 2 * length))
+                            hashes.append(part(b" ".join(w[n - length + first:]), 2 * length + 1))
+                    if len(rows) >= 50_000:
+                        yield table()
+                        rows, numbers, hashes, short = [], [], [], []
+            if rows:
+                yield table()
+
+    kinds = ", ".join(["_base decimal(38,0)", "no int", *(f"{c} long" for c in ("h1", "h2", *_HALVES))])
+    lines = keyed.select("_base", F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
+    return lines.select((F.col("_base") + F.col("no")).cast("decimal(38,0)").alias("place"), "h1", "h2", *_HALVES)
+
+
+def _mixed(a: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """One hash of several columns of unsigned 64-bit numbers."""
+    for b in more:
+        a = (a ^ (b * _ODD)) * _MIX
+        a ^= a >> np.uint64(29)
+    return (a * _ODD).view(np.int64)
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """``(key, role, place)``: ``S`` a word replaced at a place, ``Y`` a word left out, ``X`` the whole
-    line. Keys of a left-out word come from running hashes of the line's two sides."""
+    line. A line's hash is the sum of its words' hashes times powers of an odd number (modulo 2**64);
+    running sums give the hash without each word, for all lines of a batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
-
-        def signed(*parts: int) -> int:
-            return digest(",".join(map(str, parts))) - (1 << 63)
-
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for place, words in zip(batch.column(0), batch.column(1)):
-                hashes = [digest(w) % _PRIME for w in words.as_py()]
-                n = len(hashes)
-                after = [0] * (n + 1)
-                for i in range(n - 1, -1, -1):
-                    after[i] = (hashes[i] + _BASE * after[i + 1]) % _PRIME
-                keys, roles, before, power = [signed(after[0], n)], ["X"], 0, 1
-                left_out = set()
-                for i in range(n):
-                    rest = (before + power * after[i + 1]) % _PRIME
-                    keys.append(signed(rest, i, n))
-                    left_out.add(rest)
-                    before, power = (before + power * hashes[i]) % _PRIME, power * _BASE % _PRIME
-                roles += ["S"] * n + ["Y"] * len(left_out)
-                keys += [signed(rest, n - 1) for rest in left_out]
-                for at in range(0, len(keys), 100_000):
-                    some = keys[at:at + 100_000]
+            words = batch.column(1)
+            sizes = np.diff(words.offsets.to_numpy())
+            h = np.array([digest(w) for w in words.flatten().to_pylist()], np.uint64)
+            starts = np.cumsum(sizes) - sizes
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(h)) - starts[line]
+            powers = np.cumprod(np.full(int(sizes.max(initial=0)), _ODD, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[at], dtype=np.uint64)])
+            begin, total = sums[starts], sums[starts + sizes] - sums[starts]
+            before, after = sums[:-1] - begin[line], total[line] - (sums[1:] - begin[line])
+            rest, n = before + after * _INVERSE, sizes.astype(np.uint64)
+            again = np.zeros(len(h), bool)  # leaving out a word or its equal neighbour is the same
+            again[1:] = (h[1:] == h[:-1]) & (at[1:] > 0)
+            keys = [_mixed(total, n), _mixed(rest, n[line] - np.uint64(1), at.astype(np.uint64) + np.uint64(1)), _mixed(rest, n[line] - np.uint64(1))[~again]]
+            places = [np.arange(len(sizes)), line, line[~again]]
+            for role, some, whose in zip("XSY", keys, places):
+                for i in range(0, len(some), 100_000):
+                    own = pa.array(whose[i:i + 100_000])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int64()), pa.array(roles[at:at + 100_000]), pa.array([place.as_py()] * len(some), pa.decimal128(38, 0))],
+                        [pa.array(some[i:i + 100_000]), pa.array([role] * len(own), pa.string()), batch.column(0).take(own)],
                         ["key", "role", "place"],
                     )
 
@@ -174,8 +211,8 @@ def dedup_lines(
     keys = materialized(
         seen.groupBy("h1", "h2").agg(
             F.min("place").alias("first"), F.count("*").alias("n"),
-            *(F.min(F.col("halves")[i]).alias(f"half{i}") for i in range(4)),
-        ).select("h1", "h2", "first", "n", F.when(F.col("half0").isNotNull(), F.array(*(f"half{i}" for i in range(4)))).alias("halves")),
+            *(F.min(half).alias(half) for half in _HALVES),
+        ).select("h1", "h2", "first", "n", F.when(F.col("half0").isNotNull(), F.array(*_HALVES)).alias("halves")),
         "lines-distinct",
     )
     if max_edits:

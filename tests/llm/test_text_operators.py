@@ -119,6 +119,34 @@ def test_lines(docs):
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def test_lines_equal_brute_force(docs):
+    rng = random.Random(11)
+    seeds = [[rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(4, 13))] for _ in range(12)]
+
+    def varied():
+        w = list(rng.choice(seeds))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randint(0, 1)] = rng.choice([[], ["É"], [w[at]], ["x", "y"]])
+        return "  ".join(w) if rng.random() < 0.2 else " ".join(w)
+
+    rows = [(i, "\n".join(varied() for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    earlier: list[list[str]] = []
+    expected = {}
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            w = line.lower().split()
+            gone = len(w) >= 5 and any(
+                v == w or min(len(v), len(w)) >= 10 and line_dedup.within_one_edit(v, w) for v in earlier
+            )
+            earlier.append(w)
+            if not gone:
+                kept.append(line)
+        expected[i] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()} == expected
+
+
 def test_within_one_edit():
     def distance(a, b):
         table = list(range(len(b) + 1))
