@@ -29,6 +29,8 @@ from .packing import blocks
 BLOCK_CHARS = 3_000_000
 #: Encoded words, and chunks of words, kept per Python worker; beyond it a table starts anew.
 KEPT_WORDS = 300_000
+#: Rows decoded at a time.
+DECODED_ROWS = 1_000
 #: Longer words are encoded each time they occur in a block instead of being kept.
 KEPT_LENGTH = 40
 
@@ -200,10 +202,16 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: b for b, rank in read_ranks(ranks).items()}.__getitem__
-        for batch in batches:
-            ids = batch.column("ids")
-            texts = [None if not row.is_valid else b"".join(map(token, row.values.to_pylist())) for row in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, "decoded"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(begin, DECODED_ROWS)
+                ids = batch.column("ids")
+                cuts, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
+                texts = [
+                    b"".join(map(token, flat[i:j].tolist())) if known else None
+                    for known, i, j in zip(ids.is_valid().to_pylist(), cuts, cuts[1:])
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*kept, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
