@@ -29,6 +29,8 @@ from .packing import blocks
 BLOCK_CHARS = 3_000_000
 #: Encoded words, and chunks of words, kept per Python worker; beyond it a table starts anew.
 KEPT_WORDS = 300_000
+#: Places of a pair up to which a merge is done one by one; arrays cost more than they save there.
+FEW = 12
 #: Rows decoded at a time.
 DECODED_ROWS = 1_000
 #: Longer words are encoded each time they occur in a block instead of being kept.
@@ -64,7 +66,7 @@ class Replay:
         inside[ends], inside[-1] = False, False
         tokens[inside] = self.single[np.frombuffer(text, np.uint8)]
         after, before = np.arange(1, len(tokens) + 1), np.arange(-1, len(tokens) - 1)
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, list[np.ndarray | int]] = {}
         queue: list[tuple[int, int]] = []
 
         def add(places: np.ndarray) -> None:
@@ -83,12 +85,40 @@ class Replay:
                     index[pair] = [places[begin:stop]]
                     heapq.heappush(queue, (rank, pair))
 
+        def few(pair: int, new: int, places: list[int]) -> None:
+            """The same merge and indexing for a handful of places, without array operations."""
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            merged = []
+            for place in places:
+                gone = after[place]
+                if tokens[place] == left and tokens[gone] == right:
+                    tokens[place], tokens[gone] = new, -2
+                    beyond = after[place] = after[gone]
+                    before[beyond] = place
+                    merged.append(place)
+            for place in {p for m in merged for p in (int(before[m]), m)}:
+                if place < 0:
+                    continue
+                first, second = int(tokens[place]), int(tokens[after[place]])
+                if first < 0 or second < 0:
+                    continue
+                both = first << 32 | second
+                if both in index:
+                    index[both].append(place)
+                elif (rank := self.rank(both)) is not None:
+                    index[both] = [place]
+                    heapq.heappush(queue, (rank, both))
+
         add(np.flatnonzero(tokens[:-1] >= 0))
         while queue:
             new, pair = heapq.heappop(queue)
             left, right = pair >> 32, pair & 0xFFFFFFFF
             found = index.pop(pair)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            if sum(1 if type(f) is int else len(f) for f in found) <= FEW:
+                few(pair, new, sorted({p for f in found for p in ([f] if type(f) is int else f.tolist())}))
+                continue
+            at = np.sort(np.concatenate([np.atleast_1d(f) for f in found]), kind="stable")
+            at = at[np.append(True, at[1:] != at[:-1])]
             at = at[(tokens[at] == left) & (tokens[after[at]] == right)]
             if left == right and len(at) > 1:  # in a run of one token, every second place from its start
                 taken, last = [], -1
