@@ -13,13 +13,13 @@ Documents are independent: one pass, no shuffle, memory of one document's layers
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: The order of kinds where spans begin together.
 KINDS = ("assign", "access", "hex")
-#: Characters one decoded layer may have. A larger one (a decompression bomb) is not entered and
-#: counted in ``n_oversize``; the text itself has no such limit.
+#: Bytes one decompressed layer is held at once. A larger one (a decompression bomb) is counted in
+#: ``n_oversize`` and read in overlapping pieces; the text itself has no such limit.
 MAX_LAYER = 32_000_000
 
 #: The patterns of the three kinds.
@@ -43,6 +43,8 @@ _LONG = re.compile(r"[^\s]{20,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters between bytes that are no text; shorter ones hold no secret and no encoded one.
+_PRINTABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]{12,}")
 
 Span = tuple[str, int, int]
 
@@ -69,6 +71,7 @@ class Layer:
 
     def __init__(self, text: str, begin: list[int] | None, end: list[int] | None, whole: tuple[int, int] | None):
         self.text, self.begin, self.end, self.whole = text, begin, end, whole
+        self.piece = self.oversize = False  # a piece of an oversize layer; the first of them
 
     def original(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -118,51 +121,108 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-class Oversize(Exception):
-    pass
+def _text(data: bytes) -> str | None:
+    """The text in ``data``, or else its parts that are text, a line each."""
+    text = _readable(data)
+    if text is None:
+        text = "\n".join(_PRINTABLE.findall(data.decode(errors="replace")))
+    return text or None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or xz ``data`` holds; None for other data."""
-    makers = []
+#: Bytes that decompression gives at a time, and what pieces of a large layer share.
+_CHUNK, _SHARED = 1 << 20, 1 << 20
+
+
+def _maker(data: bytes):
     if data[:2] == b"\x1f\x8b":
-        makers.append(lambda: zlib.decompressobj(31))
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        makers.append(zlib.decompressobj)
-    elif data[:3] == b"BZh":
-        makers.append(bz2.BZ2Decompressor)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        makers.append(lzma.LZMADecompressor)
-    for make in makers:
-        try:
-            out = make().decompress(data, MAX_LAYER + 1)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            return None
-        if len(out) > MAX_LAYER:
-            raise Oversize
-        return out
+        return lambda: zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
     return None
 
 
-def _from_base64(segment: str) -> Iterator[str]:
-    body = segment.rstrip("=").replace("-", "+").replace("_", "/")
-    for cut in [body if len(body) % 4 != 1 else body[:-1]]:
-        try:
-            data = base64.b64decode(cut + "=" * (-len(cut) % 4))
-        except (binascii.Error, ValueError):
-            return
-        for _ in range(64):  # compressed data inside compressed data
-            inner = _inflate(data)
-            if inner is None:
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the gzip, zlib, bzip2 or xz members in ``chunks`` hold, up to a fault or other data."""
+    member, rest = None, b""
+    for chunk in chunks:
+        rest += chunk
+        while rest or member is not None:
+            if member is None:
+                if len(rest) < 6:
+                    break  # more comes, or nothing
+                make = _maker(rest)
+                if make is None:
+                    return
+                member = make()
+            try:
+                out = member.decompress(rest, _CHUNK)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if out:
+                yield out
+            if member.eof:
+                rest, member = member.unused_data, None
+                continue
+            rest = getattr(member, "unconsumed_tail", b"")
+            if not rest and len(out) < _CHUNK and getattr(member, "needs_input", True):
                 break
-            data = inner
-        text = _readable(data)
+
+
+def _decompressed(data: bytes) -> Iterator[bytes] | None:
+    """Chunks of what compressed ``data`` holds, also inside compressed data; None for other data."""
+    chunks: Iterator[bytes] = iter((data,))
+    for depth in range(64):
+        first = next(chunks, b"")
+        while depth and 0 < len(first) < 6 and (more := next(chunks, b"")):
+            first += more
+        if _maker(first) is None:
+            return chain((first,), chunks) if depth else None
+        inner = _inflated(chain((first,), chunks))
+        head = next(inner, None)
+        if head is None:  # not compressed after all
+            return chain((first,), chunks) if depth else None
+        chunks = chain((head,), inner)
+    return chunks
+
+
+def _pieces(data: bytes) -> Iterator[tuple[str, bool]]:
+    """Texts in decoded ``data``, and whether each is a piece of a layer beyond ``MAX_LAYER``."""
+    chunks = _decompressed(data)
+    if chunks is None:
+        text = _text(data)
         if text is not None:
-            yield text
+            yield text, False
+        return
+    held, size, large = [], 0, False
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size > MAX_LAYER:
+            large = True
+            whole = b"".join(held)
+            yield _text(whole) or "", True
+            held = [whole[-min(_SHARED, MAX_LAYER // 2):]]
+            size = len(held[0])
+    text = _text(b"".join(held))
+    if text is not None:
+        yield text, large
+
+
+def _decoded(body: str) -> bytes:
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _from_base64(segment: str) -> Iterator[tuple[str, bool]]:
+    yield from _pieces(_decoded(segment.rstrip("=").replace("-", "+").replace("_", "/")))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers directly inside ``layer``. Raises ``Oversize`` when one is beyond the limit."""
+    """The layers directly inside ``layer``; one beyond the limit comes in pieces."""
     text = layer.text
     if "%" in text:
         pieces = []
@@ -177,33 +237,38 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             yield _spliced(layer, pieces)
     for token in _LONG.finditer(text):
         for m in _BASE64.finditer(text, token.start(), token.end()):
-            for inner in _from_base64(m.group()):
-                yield Layer(inner, None, None, layer.original(m.start(), m.end()))
+            yield from _inner(layer, m, m.group())
+
+
+def _inner(layer: Layer, found: re.Match, segment: str) -> Iterator[Layer]:
+    large = False
+    for text, piece in _from_base64(segment):
+        inner = Layer(text, None, None, layer.original(found.start(), found.end()))
+        inner.piece, inner.oversize = piece, piece and not large
+        large = piece
+        yield inner
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Spans of the text itself, spans of all layers, number of layers, number of oversize ones."""
     base = list(scan(text))
     every = set(base)
-    work, seen, layers, oversize = [Layer(text, None, None, None)], {sha256(text.encode(errors="replace")).digest()}, 1, 0
+    seen, layers, oversize = {sha256(text.encode(errors="replace")).digest()}, 1, 0
+    work = [unwrap(Layer(text, None, None, None))]  # the innermost first, so that few layers are held
     while work:
-        inside = unwrap(work.pop())
-        while True:
-            try:
-                layer = next(inside, None)
-            except Oversize:
-                oversize += 1
-                break
-            if layer is None:
-                break
-            digest = sha256(f"{layer.whole}:{layer.text}".encode(errors="replace")).digest()
-            if digest in seen or not layer.text:
-                continue
-            seen.add(digest)
-            layers += 1
-            for kind, start, end in scan(layer.text):
-                every.add((kind, *layer.original(start, end)))
-            work.append(layer)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        oversize += layer.oversize
+        digest = sha256(f"{layer.whole}:{layer.text}".encode(errors="replace")).digest()
+        if digest in seen or not layer.text:
+            continue
+        seen.add(digest)
+        layers += not layer.piece or layer.oversize
+        for kind, start, end in scan(layer.text):
+            every.add((kind, *layer.original(start, end)))
+        work.append(unwrap(layer))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(every, key=order), layers, oversize
 
