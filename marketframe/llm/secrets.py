@@ -40,9 +40,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
 _LONG = re.compile(r"[^\s]{20,}")
+_LONG64 = re.compile(r"[^\s]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; the last one may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: How base64 of compressed data begins.
+_PACKED = re.compile(r"(?=H4sI|Qlpo|/Td6WFo|e[AFJN])")
 #: Characters between bytes that are no text; shorter ones hold no secret and no encoded one.
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]{12,}")
 
@@ -218,7 +224,45 @@ def _decoded(body: str) -> bytes:
 
 
 def _from_base64(segment: str) -> Iterator[tuple[str, bool]]:
-    yield from _pieces(_decoded(segment.rstrip("=").replace("-", "+").replace("_", "/")))
+    """Texts in a run of base64 characters: from its start, from the other three alignments (other
+    characters may stand before the encoded part), from the parts between separators that are base64
+    characters too, and from wherever compressed data may begin."""
+    run = segment.rstrip("=")
+    body = run.replace("-", "+").replace("_", "/")
+    for start in range(4):
+        if len(body) - start >= 16:
+            data = _decoded(body[start:])
+            if start == 0 or _maker(data) is None:
+                yield from _pieces(data)
+    for part in re.finditer(r"[^/_-]{16,}", run):
+        if len(part.group()) < len(run):
+            yield from _pieces(_decoded(part.group()))
+    for m in _PACKED.finditer(body):
+        at, width = m.start(), 64
+        if at == 0:
+            continue
+        # Longer and longer parts: where no compressed data begins, a fault shows early.
+        while at + width < len(body) and _sound(_decoded(body[at:at + width])):
+            width *= 16
+        if at + width >= len(body):
+            data = _decoded(body[at:])
+            if _decompressed(data) is not None:
+                yield from _pieces(data)
+        elif _decompressed(_decoded(body[at:at + width])) is not None:  # other data follows
+            yield from _pieces(_decoded(body[at:at + width]))
+
+
+def _sound(data: bytes) -> bool:
+    """Whether ``data`` begins compressed data without a fault or an end."""
+    make = _maker(data)
+    if make is None:
+        return False
+    member = make()
+    try:
+        member.decompress(data, _CHUNK)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return False
+    return not member.eof
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -235,9 +279,12 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         pieces = [(m.start(), m.end(), _unescape(m.group())) for m in _ESCAPE.finditer(text)]
         if pieces:
             yield _spliced(layer, pieces)
-    for token in _LONG.finditer(text):
+    for token in _LONG64.finditer(text):
         for m in _BASE64.finditer(text, token.start(), token.end()):
             yield from _inner(layer, m, m.group())
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            yield from _inner(layer, m, _BREAK.sub("", m.group()))
 
 
 def _inner(layer: Layer, found: re.Match, segment: str) -> Iterator[Layer]:

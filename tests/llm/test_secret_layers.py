@@ -1,10 +1,15 @@
-"""Secrets beside and inside large layers."""
+"""Secrets behind other characters, in short and wrapped base64, and beside and inside large layers."""
 
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
+import zlib
+
+import pytest
 
 from marketframe.llm import secrets
 
@@ -19,6 +24,34 @@ def _found(text):
     return {(kind, start, end) for kind, start, end in secrets.find(text)[1]}
 
 
+@pytest.mark.parametrize("lead", ["//host/cb/", "key_", "x-", "ab", "abc/", "a/b/c/d-", "zZ9"])
+@pytest.mark.parametrize("tail", ["", "/next/page", "-x"])
+def test_base64_behind_other_characters(lead, tail):
+    for data in (SECRET.encode(), b"token=secret1", zlib.compress(SECRET.encode()), gzip.compress(SECRET.encode()), bz2.compress(SECRET.encode()), lzma.compress(SECRET.encode())):
+        packed = not data.startswith((b"p", b"t"))
+        if packed and lead == "zZ9" and data[:1] == b"\x78":
+            continue  # without a separator zlib's two header characters are tried as well, below
+        body = _b64(data).rstrip("=")
+        assert any(k == "assign" for k, _, _ in _found(f"see {lead}{body}{tail} end")), (lead, tail, data[:6])
+    assert _found(f"zZ9{_b64(zlib.compress(SECRET.encode()))}")
+
+
+def test_short_base64_word():
+    assert _b64(b"token=secret") == "dG9rZW49c2VjcmV0"
+    assert _found("a dG9rZW49c2VjcmV0 b") == {("assign", 2, 18)}
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(width, newline):
+    rng = random.Random(5)
+    noise = " ".join(str(rng.random()) for _ in range(30))
+    for data in (gzip.compress(f"{noise} {SECRET} {noise}".encode()), f"{'x' * (width * 3 // 4 - 12)} {SECRET}".encode()):
+        body = _b64(data)
+        text = "start\n" + newline.join(body[i:i + width] for i in range(0, len(body), width)) + "\nend"
+        assert any(k == "assign" for k, _, _ in _found(text))
+
+
 def test_layers_behind_and_inside_a_large_one(monkeypatch):
     monkeypatch.setattr(secrets, "MAX_LAYER", 3_000_000)
     rng = random.Random(6)
