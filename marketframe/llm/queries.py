@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 from marketframe.workspace import materialized
 
-from . import byte_bpe, html_extract, line_dedup, packing, personal, pivot_search, quality, secrets, simhash, url_filter
+from . import (
+    byte_bpe,
+    html_extract,
+    line_dedup,
+    merge_automaton,
+    merkle,
+    packing,
+    personal,
+    pivot_search,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    url_filter,
+)
+from .oracles import OP11_SQL, OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +149,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its more frequent form and that form's root."""
+    found = spelling.variants(_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the tokenization automaton and the labels they decode to, as digests."""
+    tokenizer = _vocabulary("word_bpe_49k.json")
+    encoded = merge_automaton.encode(_table(spark, sf_dir, "documents"), tokenizer)
+    return merge_automaton.decode(encoded, tokenizer).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root after tampering with some texts."""
+    found = merkle.manifest(
+        _table(spark, sf_dir, "documents"),
+        changes={"text": F.replace("text", F.lit("\n"), F.lit(""))},
+        where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0,
+    )
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(), 256).alias("proof_sha256"),
+        F.col("changed_root").alias("folded_root"), "verified",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_packing": op1_binary_packing,
     "op2_url_templates": op2_url_templates,
@@ -145,6 +191,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_merge_automaton": op12_merge_automaton,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op7_pivot_top_k": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_pivot_top_k": OP7_SQL, "op11_spelling": OP11_SQL, "op13_merkle": OP13_SQL}
