@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.operators import metrics, selection, series, timeseries
+from marketframe import sinks, sources
+from marketframe.operators import metrics, selection, series, states, timeseries
+from marketframe.workspace import fresh_path, materialized
 
 from .registration import query, rounded, sql_rounded
-from .tables import EVENT_PRICES, ORDER_PRICES, event_prices, order_prices, part_registry, table, ticker
+from .tables import EVENT_PRICES, ORDER_PRICES, epoch_ms, event_prices, order_prices, part_registry, table, ticker
 
 _ROUNDED = metrics.METRICS[:-1]
 
@@ -87,11 +89,38 @@ def _(spark, sf_dir):
     return _metrics(metrics.price_metrics(order_prices(spark, sf_dir), 0), 4)
 
 
+@query("price_metrics_states", _metrics_sql(0))
+def _(spark, sf_dir):
+    """Whole history from one state per ticker and month."""
+    prices = event_prices(spark, sf_dir)
+    return _metrics(states.metrics_of(states.metric_states(prices, "month"), prices))
+
+
+@query("price_metrics_extended", _metrics_sql(0))
+def _(spark, sf_dir):
+    """The same from the states of all but the last quarter of the events, which come as a later batch
+    and are the only points read for it."""
+    prices = event_prices(spark, sf_dir)
+    cut = prices.agg(F.expr("max(ts) - (max(ts) - min(ts)) div 4")).scalar()
+    known = materialized(states.metric_states(prices.where(F.col("ts") < cut), "week"), "metric-states")
+    later = states.extended(known, prices.where(F.col("ts") >= cut), "week")
+    return _metrics(states.metrics_of(later, prices))
+
+
 @query("win_tail_n", f"{_tail_sql(30)} SELECT ticker, ts, value, pos FROM tail")
 def _(spark, sf_dir):
     return series.tail(event_prices(spark, sf_dir), 30).select("ticker", "ts", "value", "pos")
 
 
+@query("win_tail_recent", f"{_tail_sql(30)} SELECT ticker, ts, value, pos FROM tail")
+def _(spark, sf_dir):
+    """The same tail from prices laid out by week, of which only the folders it needs are opened."""
+    path = fresh_path(spark, "price-periods")
+    sinks.write_price_periods(event_prices(spark, sf_dir), path, "week", buckets=4)
+    recent = sources.read_recent_prices(spark, path, 30)
+    return series.tail(recent, 30).select("ticker", "ts", "value", "pos")
+
+
 @query(
     "win_returns",
     f"{_tail_sql(0)} SELECT ticker, pos, "
@@ -137,6 +166,32 @@ def _(spark, sf_dir):
     )
 
 
+def type_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a few long series, one per event type."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("ticker"), epoch_ms("ts").alias("ts"), "value", F.col("event_id").alias("pos")
+    )
+
+
+@query(
+    "win_rolling_long",
+    f"""SELECT event_type AS ticker, event_id AS pos, {sql_rounded('avg(value) OVER w')} AS rolling_mean,
+       {sql_rounded('stddev_samp(value) OVER w')} AS rolling_std,
+       min(value) OVER w AS rolling_min, max(value) OVER w AS rolling_max
+FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)""",
+)
+def _(spark, sf_dir):
+    return series.rolling(type_prices(spark, sf_dir), 5_000).select(
+        "ticker",
+        "pos",
+        rounded("rolling_mean").alias("rolling_mean"),
+        rounded("rolling_std").alias("rolling_std"),
+        "rolling_min",
+        "rolling_max",
+    )
+
+
 @query(
     "srt_chronological",
     f"{_tail_sql(0)} SELECT ticker, pos, ts, value, observation FROM series",
@@ -266,5 +321,4 @@ LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders
 )
 def _(spark, sf_dir):
     requested, companies, prices, _ = _report_inputs(spark, sf_dir)
-    found = metrics.price_metrics(prices, metrics=["observations"])
-    return metrics.analytics_gate(requested, companies, found)
+    return metrics.analytics_gate(requested, companies, prices)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from marketframe.functions import canonical_ticker
 from marketframe.operators import selection, shaping
 from marketframe.plans import normalize_companies
-from marketframe.schemas import DOCUMENT_SCHEMA
-from marketframe.sources import unwrap_responses
+from marketframe.sources import parsed_documents, shredded, unwrap_responses
 
 from .registration import query
 from .tables import (
@@ -29,8 +28,8 @@ from .tables import (
 
 
 def parsed(bodies: DataFrame) -> DataFrame:
-    """Documents in a text column, parsed with the same schema as the readers use."""
-    return bodies.select(F.from_json("body", DOCUMENT_SCHEMA).alias("d")).select("d.*")
+    """Documents in a text column, parsed as the readers do."""
+    return shredded(parsed_documents(bodies.select("body"))).drop("broken")
 
 
 def customer_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +124,7 @@ SELECT id, name, ticker, sector, industry, description, indices, exchanges FROM
 )
 def _(spark, sf_dir):
     details = shaping.company_details(customer_companies(spark, sf_dir))
-    return shaping.stringify_nested(details).drop("aggregations", "lastUpdated")
+    return shaping.stringify_nested(details).drop("aggregations", "lastUpdated", "extra")
 
 
 @query("prj_unnest_prices", f"WITH {ORDER_POINTS} SELECT * FROM points")
@@ -151,7 +150,7 @@ FROM companies""",
 def _(spark, sf_dir):
     companies = customer_companies(spark, sf_dir)
     keys = ["fundamentals", "stock_price"]
-    updated = F.struct(*[F.col("lastUpdated")[k].alias(k) for k in keys])
+    updated = F.struct(*[F.col("lastUpdated")[k].cast("string").alias(k) for k in keys])
     nested = companies.select("id", "indices", "exchanges", updated.alias("updated"), "insights")
     return shaping.stringify_nested(nested)
 

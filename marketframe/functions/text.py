@@ -90,6 +90,8 @@ def json_text(c: Column, dtype: T.DataType) -> Column:
         ]
         body = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
         return F.when(c.isNotNull(), body)
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(c)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return number_text(c)
     if isinstance(dtype, (T.IntegralType, T.DecimalType, T.BooleanType)):

@@ -74,3 +74,22 @@ def lax_integer_of(v: Column) -> Column:
 def is_blank(v: Column) -> Column:
     """True for values a truth test rejects: absent, null, ``{}``, ``[]``, ``""``, 0, false."""
     return v.isNull() | F.to_json(v).isin(*BLANK_JSON)
+
+
+def kept_fraction(v: Column) -> Column:
+    """A number such as ``2.0`` as a double, which is written as such again; VARIANT holds it as a decimal
+    without places, which would come out as an integer. Integers of that size are BIGINT instead."""
+    bare = F.schema_of_variant(v).rlike(r"^DECIMAL\((\d|1[0-5]),0\)$")
+    return F.when(bare, F.try_variant_get(v, "$", "double").cast("variant")).otherwise(v)
+
+
+def number_of(v: Column) -> Column:
+    """The double of a JSON number; anything else, text included, is null."""
+    tag = F.schema_of_variant(v)
+    numeric = tag.isin("BIGINT", "DOUBLE") | tag.startswith("DECIMAL")
+    return F.when(numeric, F.try_variant_get(v, "$", "double"))
+
+
+def integer_of(v: Column) -> Column:
+    """The bigint of a JSON integer; anything else is null."""
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))

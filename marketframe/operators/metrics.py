@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialized
-from .selection import valid_prices
-from .series import HOT_ROWS, TAIL_GROUPS, running, tail, with_drawdown, with_returns
+from .selection import narrowing, valid_prices
+from .series import HOT_ROWS, TAIL_GROUPS, running, short_series, tail, with_drawdown, with_returns
 
 # Trading days in a year, default number of observations.
 TRADING_DAYS = 252
@@ -79,6 +79,20 @@ def price_metrics(
     )
 
 
+def _counted_metrics(prices: DataFrame, horizon: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Metrics of every ticker with points; ``observations`` is 0 where none of them is valid. Short
+    tails come from one pass over the points."""
+    chosen = _expressions()
+    if not horizon or not _fits(horizon, hot_rows):
+        found = price_metrics(prices, horizon, hot_rows=hot_rows)
+        counted = prices.select("ticker").distinct().join(found, "ticker", "left")
+        return counted.withColumn("observations", F.coalesce("observations", F.lit(0).cast("long")))
+    blank = prices.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    series = with_drawdown(with_returns(short_series(blank, horizon)))
+    chosen["observations"] = F.count("value")
+    return series.groupBy("ticker").agg(*[chosen[m].alias(m) for m in METRICS])
+
+
 def metrics_report(
     requested: DataFrame,
     companies: DataFrame,
@@ -89,29 +103,26 @@ def metrics_report(
     """Metrics for the requested tickers, or the reason there are none.
 
     ``datasets`` lists the tickers whose price dataset exists, for telling a missing dataset from
-    an empty one; without it a ticker without points counts as empty. Prices are narrowed to the
-    requested known tickers first: that list is written once, so its size is known when the joins are
-    planned and a small request prunes the scan's rows before any shuffle.
+    an empty one; without it a ticker without points counts as empty. Companies, then datasets and prices,
+    are narrowed to the tickers that are asked for and known: by a predicate that prunes folders where
+    those are few, else by a join (``selection.narrowing``). Prices are read once.
     """
     wanted = requested.select(F.upper("ticker").alias("ticker")).distinct()
-    known = companies.join(wanted, "ticker", "left_semi").select("ticker").distinct()
-    known = materialized(known.withColumn("known", F.lit(True)), "report-known")
-    asked = prices.join(known, "ticker", "left_semi")
-    points = asked.groupBy("ticker").agg(F.count("*").alias("points"))
-    metrics = price_metrics(asked, horizon)
-    report = wanted.join(known, "ticker", "left").join(points, "ticker", "left")
+    known = materialized(narrowing(wanted)(companies).select("ticker").distinct(), "report-known")
+    asked = narrowing(known)
+    report = wanted.join(known.withColumn("known", F.lit(True)), "ticker", "left")
     if datasets is not None:
-        landed = datasets.select("ticker").distinct().withColumn("landed", F.lit(True))
+        landed = asked(datasets).select("ticker").distinct().withColumn("landed", F.lit(True))
         report = report.join(landed, "ticker", "left")
         missing = F.col("landed").isNull()
     else:
         missing = F.lit(False)
-    report = report.join(metrics, "ticker", "left")
+    report = report.join(_counted_metrics(asked(prices), horizon), "ticker", "left")
     error = (
         F.when(F.col("known").isNull(), "Ticker not found")
         .when(missing, "Stock price data not found")
-        .when(F.col("points").isNull(), "No stock price data available")
-        .when(F.col("observations").isNull(), "No valid price data found")
+        .when(F.col("observations").isNull(), "No stock price data available")
+        .when(F.col("observations") == 0, "No valid price data found")
     )
     report = report.withColumn("error", error)
     good = F.col("error").isNull()
@@ -123,16 +134,18 @@ def metrics_report(
     )
 
 
-def analytics_gate(requested: DataFrame, companies: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Requested tickers with whether a company document and metrics exist for them."""
+def analytics_gate(
+    requested: DataFrame, companies: DataFrame, prices: DataFrame, horizon: int = DEFAULT_HORIZON
+) -> DataFrame:
+    """Requested tickers with whether a company document and metrics exist for them. Prices are read for
+    tickers that pass the gate only."""
     wanted = requested.select(F.upper("ticker").alias("ticker")).distinct()
-    known = companies.select("ticker").distinct().withColumn("known", F.lit(True))
-    computed = metrics.select("ticker", "observations")
-    joined = wanted.join(known, "ticker", "left").join(computed, "ticker", "left")
-    found = F.col("known").isNotNull()
+    known = materialized(narrowing(wanted)(companies).select("ticker").distinct(), "gate-known")
+    computed = price_metrics(narrowing(known)(prices), horizon, ["observations"])
+    joined = wanted.join(known.withColumn("known", F.lit(True)), "ticker", "left").join(computed, "ticker", "left")
     return joined.select(
         "ticker",
-        found.alias("company_found"),
-        (found & F.col("observations").isNotNull()).alias("metrics_found"),
-        F.when(found, F.col("observations")).alias("observations"),
+        F.col("known").isNotNull().alias("company_found"),
+        F.col("observations").isNotNull().alias("metrics_found"),
+        "observations",
     )

@@ -8,7 +8,7 @@ take part in a join.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +18,30 @@ from ..functions import canonical_ticker
 #: Dataset formats in display order.
 FORMATS = ("json", "csv", "parquet", "sql")
 
+#: Requests of up to this many tickers become a predicate; larger ones a join.
+LISTED = 1_000
+
 
 def for_ticker(df: DataFrame, ticker: str) -> DataFrame:
     """Rows of one ticker; prunes partitions on a table partitioned by ticker."""
     return df.where(F.col("ticker") == F.upper(F.lit(ticker)))
 
 
+def narrowing(wanted: DataFrame, listed: int = LISTED) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the rows of the tickers in ``wanted``.
+
+    At most ``listed`` tickers are fetched and become a predicate, which prunes the folders of a dataset
+    laid out by ticker and reaches the scan of any other. Larger requests are a semi join; its filter on
+    the request lets Spark prune folders at run time when the request is small enough to broadcast.
+    Null tickers are never kept. ``wanted`` should be a written table, since it is read each time.
+    """
+    tickers = wanted.select("ticker").where(F.col("ticker") >= "").distinct()
+    names = [r[0] for r in tickers.limit(listed + 1).collect()]
+    if len(names) <= listed:
+        return lambda df: df.where(F.col("ticker").isin(names))
+    return lambda df: df.join(tickers, "ticker", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def valid_prices(prices: DataFrame) -> DataFrame:
     """Points whose value is a number: nulls (which text became on a typed read) and NaN go."""
     return prices.where(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -28,6 +28,8 @@ HOT_ROWS = 2_000_000
 SLACK = 2
 #: Groups of map tasks whose tails are cut separately before a ticker's last points meet in one task.
 TAIL_GROUPS = 256
+#: Longest rolling frame that is recomputed for every point.
+SHORT_FRAME = 64
 
 _PIECE = ["ticker", "piece"]
 
@@ -87,10 +89,13 @@ def _with_carry(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 
 _OLDEST_FIRST = "ORDER BY ts ASC NULLS FIRST, pos ASC NULLS FIRST"
 _LATEST_FIRST = "ORDER BY ts DESC NULLS LAST, pos DESC NULLS LAST"
+#: The same orders with points without a value before all others.
+_BLANKS_FIRST = _OLDEST_FIRST.replace("ORDER BY", "ORDER BY value IS NOT NULL,")
+_BLANKS_LAST = _LATEST_FIRST.replace("ORDER BY", "ORDER BY value IS NULL,")
 
 
-def _running_columns(partition: str) -> list[str]:
-    window = f"PARTITION BY {partition} {_OLDEST_FIRST}"
+def _running_columns(partition: str, order: str = _OLDEST_FIRST) -> list[str]:
+    window = f"PARTITION BY {partition} {order}"
     return [
         f"bigint(row_number() OVER ({window})) AS observation",
         f"lag(value) OVER ({window}) AS previous",
@@ -123,11 +128,23 @@ def running(
     return found.unionByName(cut)
 
 
-def _last(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    from_end = f"row_number() OVER (PARTITION BY {', '.join(keys)} {_LATEST_FIRST}) AS _from_end"
+def _last(rows: DataFrame, n: int, *keys: str, order: str = _LATEST_FIRST) -> DataFrame:
+    from_end = f"row_number() OVER (PARTITION BY {', '.join(keys)} {order}) AS _from_end"
     return rows.selectExpr("*", from_end).where(f"_from_end <= {n}").drop("_from_end")
 
 
+def _grouped_last(prices: DataFrame, n: int, order: str = _LATEST_FIRST) -> DataFrame:
+    """The last ``n`` points per ticker, by way of those of each group of map tasks."""
+    grouped = prices.withColumn("_tasks", F.spark_partition_id() % TAIL_GROUPS)
+    return _last(_last(grouped, n, "ticker", "_tasks", order=order).drop("_tasks"), n, "ticker", order=order)
+
+
+def short_series(prices: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` points with a value per ticker as ``running`` gives them, and, of tickers short of
+    ``n``, points without one before them: every ticker with any point has a row. One pass."""
+    return _grouped_last(prices, n, _BLANKS_LAST).selectExpr("*", *_running_columns("ticker", _BLANKS_FIRST))
+
+
 def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The last ``n`` points per ticker; 0 keeps all, a negative number is refused.
 
@@ -143,8 +160,7 @@ def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFram
     if hot_rows is None:
         return _last(prices, n, "ticker")
     if n * TAIL_GROUPS <= hot_rows:
-        grouped = prices.withColumn("_tasks", F.spark_partition_id() % TAIL_GROUPS)
-        return _last(_last(grouped, n, "ticker", "_tasks").drop("_tasks"), n, "ticker")
+        return _grouped_last(prices, n)
     cold, pieces = split_by_heat(prices, hot_rows)
     found = _last(cold, n, "ticker")
     if pieces is None:
@@ -180,7 +196,8 @@ def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> Da
 
     Cold tickers use one window. Hot tickers are numbered first and cut into chunks of equal
     length; the last ``size - 1`` points of a chunk are handed to the next one as well, which is
-    all its first points need.
+    all its first points need. Frames of more than ``SHORT_FRAME`` points are put together from block
+    parts, so that the work per point does not grow with ``size``.
     """
     if size < 1:
         raise ValueError("size must be at least 1")
@@ -192,19 +209,60 @@ def rolling(prices: DataFrame, size: int, hot_rows: int | None = HOT_ROWS) -> Da
         chunked = cold.withColumns(whole)
         if pieces is not None:
             chunked = chunked.unionByName(_chunks(pieces, size, hot_rows).select(*chunked.columns))
+    found = _sliding(chunked, size) if size <= SHORT_FRAME else _by_blocks(chunked, size)
+    return found.where("own").drop("chunk", "own")
+
+
+def _sliding(chunked: DataFrame, size: int) -> DataFrame:
+    """Rolling columns by a sliding frame, which looks at ``size`` points for each point."""
     frame = (
         f"PARTITION BY ticker, chunk {_OLDEST_FIRST} ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW"
     )
-    return (
-        chunked.selectExpr(
-            "*",
-            f"avg(value) OVER ({frame}) AS rolling_mean",
-            f"stddev_samp(value) OVER ({frame}) AS rolling_std",
-            f"min(value) OVER ({frame}) AS rolling_min",
-            f"max(value) OVER ({frame}) AS rolling_max",
+    return chunked.selectExpr(
+        "*",
+        f"avg(value) OVER ({frame}) AS rolling_mean",
+        f"stddev_samp(value) OVER ({frame}) AS rolling_std",
+        f"min(value) OVER ({frame}) AS rolling_min",
+        f"max(value) OVER ({frame}) AS rolling_max",
+    )
+
+
+def _by_blocks(chunked: DataFrame, size: int) -> DataFrame:
+    """Rolling columns from blocks of ``size`` points.
+
+    A frame is the head of its last point's block and the tail of the block before. Heads and tails
+    are running aggregates within a block, one in either direction; the tail that belongs to a
+    point stands ``size - 1`` points earlier. Sums never leave a block, so nothing large is subtracted.
+    All windows share the exchange on the ticker.
+    """
+    series = f"PARTITION BY ticker, chunk {_OLDEST_FIRST}"
+    numbered = chunked.selectExpr("*", f"bigint(row_number() OVER ({series})) - 1 AS _i")
+    block = f"PARTITION BY ticker, chunk, _i div {size} ORDER BY _i"
+
+    def part(frame: str) -> str:
+        over = f"OVER ({frame} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return (
+            f"struct(count(value) {over} AS n, avg(value) {over} AS mean, var_pop(value) {over} AS spread, "
+            f"min(value) {over} AS low, max(value) {over} AS high)"
         )
-        .where("own")
-        .drop("chunk", "own")
+
+    parts = numbered.selectExpr("*", f"{part(block)} AS _head").selectExpr("*", f"{part(block + ' DESC')} AS _rest")
+    lagged = f"lag(_rest, {size - 1}) OVER (PARTITION BY ticker, chunk ORDER BY _i)"
+    met = parts.selectExpr("*", f"if(_i % {size} = {size - 1}, NULL, {lagged}) AS _tail")
+    both = met.selectExpr(
+        "*", "_head.n AS _n", "coalesce(_tail.n, 0L) AS _m",
+        "coalesce(_head.mean, 0D) AS _a", "coalesce(_tail.mean, 0D) AS _b",
+    ).selectExpr(
+        "*",
+        "coalesce(_n * _head.spread, 0D) + coalesce(_m * _tail.spread, 0D) "
+        "+ coalesce(try_divide(double(_n) * _m, _n + _m), 0D) * power(_a - _b, 2) AS _squares",
+    )
+    return both.select(
+        *(F.col(f"`{c}`") for c in chunked.columns),
+        F.expr("try_divide(_n * _a + _m * _b, _n + _m) AS rolling_mean"),
+        F.expr("if(_n + _m > 1, sqrt(_squares / (_n + _m - 1)), NULL) AS rolling_std"),
+        F.expr("least(_head.low, _tail.low) AS rolling_min"),
+        F.expr("greatest(_head.high, _tail.high) AS rolling_max"),
     )
 
 

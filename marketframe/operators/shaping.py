@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import canonical_ticker, json_text, lax_integer
-from ..schemas import COMPANY_SCHEMA, POINT_SCHEMA, PRICE_SCHEMA
+from ..functions.variants import integer_of, kind_of, number_of, string_of
+from ..schemas import COMPANY_SCHEMA, EXTRA, POINT_SCHEMA, PRICE_SCHEMA
 
-_POINTS_DDL = "array<struct<ts: bigint, value: double, interval: bigint, valueUnit: string>>"
+_POINT = "struct<ts: variant, value: variant, interval: variant, valueUnit: variant>"
 
 
 def object_points(points: Column) -> Column:
-    """Typed price points from an array of JSON texts; elements that are not objects vanish. The
-    objects are parsed in one go, and a value of the wrong type (any text, "Infinity" included) is
-    null in its own field only."""
-    objects = F.filter(points, lambda e: F.ltrim(e).startswith("{"))
-    listed = F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]"))
-    return F.from_json(listed, _POINTS_DDL, {"allowNonNumericNumbers": "false"})
+    """Typed price points from an array of JSON values; elements that are not objects vanish. A value of
+    the wrong type (any text, "Infinity" included) is null in its own field only."""
+    objects = F.filter(F.transform(points, lambda e: F.try_variant_get(e, "$", _POINT)), lambda p: p.isNotNull())
+    return F.transform(
+        objects,
+        lambda p: F.struct(
+            integer_of(p["ts"]).alias("ts"),
+            number_of(p["value"]).alias("value"),
+            integer_of(p["interval"]).alias("interval"),
+            string_of(p["valueUnit"]).alias("valueUnit"),
+        ),
+    )
 
 
 def typed_companies(documents: DataFrame) -> DataFrame:
     """Documents as read from disk to company records: integer id, canonical ticker, empty
     collections in place of nulls, typed price points. Other columns pass through."""
     no_strings = F.array().cast("array<string>")
-    no_metrics = F.create_map().cast("map<string,string>")
+    no_values = F.create_map().cast("map<string,variant>")
     points = F.coalesce(
         object_points(F.col("insights.stock_price")),
         F.array().cast(T.ArrayType(POINT_SCHEMA)),
@@ -38,9 +45,10 @@ def typed_companies(documents: DataFrame) -> DataFrame:
             "ticker": canonical_ticker(F.col("ticker")),
             "indices": F.coalesce("indices", no_strings),
             "exchanges": F.coalesce("exchanges", no_strings),
-            "aggregations": F.coalesce("aggregations", no_metrics),
+            "aggregations": F.coalesce("aggregations", no_values),
             "insights": F.struct(points.alias("stock_price")),
-            "lastUpdated": F.coalesce("lastUpdated", no_metrics),
+            "lastUpdated": F.coalesce("lastUpdated", no_values),
+            EXTRA: F.coalesce(EXTRA, no_values) if EXTRA in documents.columns else no_values,
         }
     )
 
@@ -86,36 +94,70 @@ def _reject_collisions(df: DataFrame, replaced: str, names: Iterable[str]) -> No
         raise ValueError(f"flattening {replaced!r} would repeat columns: {clash}")
 
 
-def metric_types(df: DataFrame, column: str) -> dict[str, str]:
-    """The keys of a map of JSON values, sorted, with the narrowest type that holds all their values:
-    ``bigint``, ``boolean``, ``double`` or, where any of those would change a value, ``string``.
+def _narrowest(kinds: set[str], long: bool) -> str:
+    """The narrowest column type that holds values of these JSON kinds unchanged."""
+    kinds = kinds - {"null"}
+    if not kinds:  # no value at all
+        return "double"
+    if kinds == {"boolean"}:
+        return "boolean"
+    if kinds == {"integer"}:
+        return "bigint"
+    return "double" if kinds <= {"integer", "number"} and not long else "string"
 
-    One aggregation that combines before its shuffle; the result is one entry per output column of a
-    wide table. Where that is too wide, use :func:`long_metrics`.
-    """
-    value = F.col("value").cast("string")
-    whole = F.when(value.isNotNull(), value.rlike(r"^-?(?:0|[1-9][0-9]{0,18})$") & value.try_cast("bigint").isNotNull())
+
+def _text_kind(value: Column) -> Column:
+    """The JSON kind that a plain text looks like."""
+    whole = value.rlike(r"^-?(?:0|[1-9][0-9]{0,18})$") & value.try_cast("bigint").isNotNull()
     number = value.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
-    found = (
-        df.select(F.explode(column).alias("name", "value"))
-        .groupBy("name")
-        .agg(
-            F.bool_and(whole).alias("whole"),
-            F.bool_and(value.isin("true", "false")).alias("truth"),
-            F.bool_and(number).alias("number"),
-            F.bool_or(whole & (F.length(value) > 15)).alias("long"),
-        )
-        .collect()
+    return (
+        F.when(value.isNull(), "null")
+        .when(whole, "integer")
+        .when(value.isin("true", "false"), "boolean")
+        .when(number, "number")
+        .otherwise("string")
     )
 
-    def narrowest(r) -> str:
-        if r["number"] is None:  # no value at all
-            return "double"
-        if r["whole"] or r["truth"]:
-            return "bigint" if r["whole"] else "boolean"
-        return "double" if r["number"] and not r["long"] else "string"
 
-    return {r["name"]: narrowest(r) for r in sorted(found, key=lambda r: r["name"])}
+def value_kinds(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, str]]:
+    """For every map column the keys, sorted, with the narrowest type that holds all their values:
+    ``bigint``, ``boolean``, ``double`` or, where any of those would change a value, ``string``.
+
+    Kinds are those of the JSON values, so the text ``"12"`` stays text; in a map of plain texts they are
+    what the texts look like. One aggregation for all columns, which combines before its shuffle; the
+    result is one entry per output column of a wide table. Where that is too wide, use
+    :func:`long_metrics`.
+    """
+    entries = None
+    for column in columns:
+        value = F.col("value")
+        if isinstance(df.schema[column].dataType.valueType, T.VariantType):
+            kind = F.coalesce(kind_of(value), F.lit("null"))
+            whole = F.try_variant_get(value, "$", "bigint")
+            long = F.when(kind == "integer", (whole > 2**53) | (whole < -(2**53)))
+        else:
+            kind = _text_kind(value.cast("string"))
+            long = (kind == "integer") & (F.length(value.cast("string")) > 15)
+        pairs = df.select(F.explode(column).alias("name", "value"))
+        part = pairs.select(F.lit(column).alias("column"), "name", kind.alias("kind"), long.alias("long"))
+        entries = part if entries is None else entries.unionByName(part)
+    found = entries.groupBy("column", "name").agg(F.collect_set("kind").alias("kinds"), F.bool_or("long").alias("long")).collect()
+    types: dict[str, dict[str, str]] = {column: {} for column in columns}
+    for r in sorted(found, key=lambda r: r["name"]):
+        types[r["column"]][r["name"]] = _narrowest({"string" if k in ("object", "array", "strings") else k for k in r["kinds"]}, r["long"])
+    return types
+
+
+def metric_types(df: DataFrame, column: str) -> dict[str, str]:
+    """The keys and types of one map column, as ``value_kinds`` finds them."""
+    return value_kinds(df, [column])[column]
+
+
+def _as_type(value: Column, kind: str | None, held: T.DataType) -> Column:
+    """A map's value as a column of the given type, else as text."""
+    if not isinstance(held, T.VariantType):
+        return value.try_cast(kind) if kind else value
+    return F.try_variant_get(value, "$", kind or "string")
 
 
 def metric_names(df: DataFrame, column: str) -> list[str]:
@@ -153,12 +195,12 @@ def flatten(
     _reject_collisions(df, column, out)
     flat = []
     for name, alias in zip(names, out):
+        kind = keys[name] if isinstance(keys, Mapping) else value_type
         if isinstance(dtype, T.StructType):
-            value = F.col(column)[name]
+            value = _as_type(F.col(column)[name], kind, dtype[name].dataType)
         else:
-            value = F.try_element_at(F.col(column), F.lit(name))
-        kind = keys[name] if isinstance(keys, Mapping) else value_type
-        flat.append((value.try_cast(kind) if kind else value).alias(alias))
+            value = _as_type(F.try_element_at(F.col(column), F.lit(name)), kind, dtype.valueType)
+        flat.append(value.alias(alias))
     position = df.columns.index(column)
     others = [F.col(f"`{c}`") for c in df.columns]
     return df.select(*others[:position], *flat, *others[position + 1 :])
@@ -187,21 +229,17 @@ def flattened_companies(
     companies: DataFrame,
     metrics: Sequence[str] | Mapping[str, str] | None = None,
     updates: Sequence[str] | Mapping[str, str] | None = None,
+    extras: Sequence[str] | Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Company details with metrics and update times as columns of the types that hold all their
-    values. Keys, with their types, may be given to spare the two passes that find them; keys without
-    types keep their text."""
-    wide = flatten(
-        company_details(companies),
-        "aggregations",
-        keys=metrics if metrics is not None else metric_types(companies, "aggregations"),
-    )
-    wide = flatten(
-        wide,
-        "lastUpdated",
-        prefix="last_updated",
-        keys=updates if updates is not None else metric_types(companies, "lastUpdated"),
-    )
+    """Company details with metrics, update times and further fields as columns of the types that hold
+    all their values; objects and arrays among them become JSON text. Keys, with their types, may be
+    given to spare the pass that finds them; keys without types keep their text."""
+    wide = company_details(companies)
+    given = {"aggregations": metrics, "lastUpdated": updates, EXTRA: extras}
+    unknown = [c for c, keys in given.items() if keys is None and c in wide.columns]
+    given |= value_kinds(wide, unknown) if unknown else {}
+    for column, prefix in (("aggregations", ""), ("lastUpdated", "last_updated"), (EXTRA, "")):
+        wide = flatten(wide, column, prefix=prefix, keys=given[column])
     return move_to_end(wide, "description")
 
 
@@ -211,7 +249,7 @@ def stringify_nested(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     nested = {
         f.name: json_text(F.col(f"`{f.name}`"), f.dataType)
         for f in df.schema.fields
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) and f.name not in skip
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) and f.name not in skip
     }
     return df.withColumns(nested) if nested else df
 
@@ -240,4 +278,5 @@ __all__ = [
     "stringify_nested",
     "typed_companies",
     "unnest_prices",
+    "value_kinds",
 ]

@@ -34,9 +34,11 @@ PRICE_SCHEMA = T.StructType(
 #: The price table together with the position of each point in its source array.
 POSITIONED_PRICE_SCHEMA = T.StructType([*PRICE_SCHEMA.fields, T.StructField("pos", T.LongType())])
 
-#: A company document as it stands on disk. ``id`` may be a string or a number; metric values keep
-#: their JSON text so that one odd value cannot blank the whole map; price points are JSON texts so
-#: that one scalar in the array cannot blank its neighbours.
+_VALUES = T.MapType(T.StringType(), T.VariantType())
+
+#: The known fields of a company document as it stands on disk. ``id`` may be a string or a number; maps
+#: and price points keep their JSON values, so that one odd value cannot blank its neighbours and numbers
+#: stay numbers.
 DOCUMENT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -47,16 +49,20 @@ DOCUMENT_SCHEMA = T.StructType(
         T.StructField("description", T.StringType()),
         T.StructField("indices", T.ArrayType(T.StringType())),
         T.StructField("exchanges", T.ArrayType(T.StringType())),
-        T.StructField("aggregations", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("aggregations", _VALUES),
         T.StructField(
             "insights",
-            T.StructType([T.StructField("stock_price", T.ArrayType(T.StringType()))]),
+            T.StructType([T.StructField("stock_price", T.ArrayType(T.VariantType()))]),
         ),
-        T.StructField("lastUpdated", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("lastUpdated", _VALUES),
     ]
 )
 
-#: A company record after shaping: typed id, empty collections in place of nulls, typed points.
+#: Where the other fields of a document go, by name, as JSON values.
+EXTRA = "extra"
+
+#: A company record after shaping: typed id, empty collections in place of nulls, typed points, and the
+#: fields that are not known.
 COMPANY_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -65,7 +71,8 @@ COMPANY_SCHEMA = T.StructType(
             "insights",
             T.StructType([T.StructField("stock_price", T.ArrayType(POINT_SCHEMA))]),
         ),
-        T.StructField("lastUpdated", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("lastUpdated", _VALUES),
+        T.StructField(EXTRA, _VALUES),
     ]
 )
 

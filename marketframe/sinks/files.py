@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import number_text
 from ..operators.shaping import stringify_nested
+from ..schemas import EXTRA
 
 
 def layout(df: DataFrame, by_ticker: bool) -> DataFrameWriter:
@@ -27,9 +28,23 @@ def layout(df: DataFrame, by_ticker: bool) -> DataFrameWriter:
     )
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """``df`` as JSON objects in ``value``, next to ``ticker``; what ``extra`` holds stands among the
+    other fields, as it did in the document."""
+    known = [F.col(f"`{c}`") for c in df.columns if c != EXTRA]
+    head = F.to_json(F.struct(*known), {"ignoreNullFields": "false"})
+    more = F.to_json(EXTRA)
+    both = F.concat(F.left(head, F.length(head) - 1), F.lit(","), F.substring(more, F.lit(2), F.length(more)))
+    return df.select(F.when(F.size(EXTRA) > 0, both).otherwise(head).alias("value"), "ticker")
+
+
 def write_json(df: DataFrame, path: str, by_ticker: bool = False) -> None:
-    """JSON lines, which Spark can split again."""
-    layout(df, by_ticker).option("ignoreNullFields", False).json(path)
+    """JSON lines, which Spark can split again. Numbers and other JSON values stay what they are."""
+    if EXTRA in df.columns:
+        lines = json_lines(df)
+        layout(lines if by_ticker else lines.select("value"), by_ticker).text(path)
+    else:
+        layout(df, by_ticker).option("ignoreNullFields", False).json(path)
 
 
 def plain_numbers(df: DataFrame) -> DataFrame:

@@ -40,3 +40,35 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path, whatever file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Intermediate tables of one operator, which goes on from table to table and removes those that
+    nothing will read again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """As ``materialized``, with the path kept for ``drop``."""
+        path = fresh_path(self.spark, label)
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(read)] = (read, path)
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            removed(self.spark, path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*(t for i, (t, _) in list(self.paths.items()) if i not in kept))
