@@ -39,9 +39,11 @@ TABLE = 300_000
 #: Words of one key that a task may hold; more are cut into chunks of half of that.
 CROWDED = 4096
 #: Rows of a Gram matrix.
-TILE = 512
+TILE = 256
+#: Longer words are verified one pair at a time.
+WIDE = 64
 #: Words up to which four groups of letters serve; each eightfold takes one more.
-FOUR_GROUPS = 500_000
+FOUR_GROUPS = 2_000_000
 
 
 def word_counts(
@@ -200,19 +202,46 @@ def _blocks(words: DataFrame, groups: int, crowded: int) -> DataFrame:
     return cut.select("key", "choice", "word", "n", to).select("key", "to.part", "choice", "to.side", "word", "n")
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points, a row per word, with 0 behind its end; longer words than ``WIDE`` are left out."""
+    width = max((len(w) for w in words if len(w) <= WIDE), default=0)
+    text = "".join(w.ljust(width, "\0") if len(w) <= WIDE else "\0" * width for w in words)
+    return np.frombuffer(text.encode("utf-16-le"), "<u2").reshape(len(words), width)
+
+
+def _edits_verified(letters: np.ndarray, length: np.ndarray, words: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs, of equal or adjacent lengths, are exactly one edit apart."""
+    good = np.zeros(len(i), bool)
+    wide = np.maximum(length[i], length[j]) > WIDE
+    for at in np.flatnonzero(wide).tolist():
+        good[at] = one_edit(words[i[at]], words[j[at]])
+    same = np.flatnonzero(~wide & (length[i] == length[j]))
+    good[same] = (letters[i[same]] != letters[j[same]]).sum(1) == 1
+    apart = np.flatnonzero(~wide & (length[i] != length[j]))
+    if len(apart):
+        swap = length[i[apart]] > length[j[apart]]
+        short, long = (letters[np.where(swap, *x)] for x in ((j[apart], i[apart]), (i[apart], j[apart])))
+        beyond = np.arange(letters.shape[1] - 1) >= np.minimum(length[i[apart]], length[j[apart]])[:, None]
+        ahead = (short[:, :-1] != long[:, :-1]) & ~beyond  # the letter left out lies at the first of these or before
+        behind = (short[:, :-1] != long[:, 1:]) & ~beyond  # and after the last of these
+        first = np.where(ahead.any(1), ahead.argmax(1), letters.shape[1])
+        last = np.where(behind.any(1), letters.shape[1] - 2 - behind[:, ::-1].argmax(1), -1)
+        good[apart] = last < first
+    return good
+
+
 def _near_in(batch: pa.RecordBatch, signatures: Signatures) -> tuple[list[int], list[int]]:
     """Row pairs of near words in whole blocks, sorted by key, part and length."""
     words = batch.column("word").to_pylist()
-    table = counts(words)
+    table, letters = counts(words), _letters(words)
     kind = np.float32 if max(map(len, words)) < 2000 else np.float64  # squares must stay exact
-    vectors = table.astype(kind)
+    vectors = table[:, table.any(0)].astype(kind)
     squares = np.einsum("ij,ij->i", vectors, vectors)[:, None]
     ones = np.ones_like(squares)
     left, right = np.hstack([-2 * vectors, squares, ones]), np.hstack([vectors, ones, squares])
     key, part, side, choice = (batch.column(c).to_numpy() for c in ("key", "part", "side", "choice"))
     length = np.array([len(w) for w in words])
-    new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-    block = np.cumsum(new)
+    block = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
     found_a, found_b = [], []
     for at in range(0, len(words), TILE):
         stop = min(at + TILE, len(words))
@@ -221,19 +250,19 @@ def _near_in(batch: pa.RecordBatch, signatures: Signatures) -> tuple[list[int],
                 break
             if to > at and length[to] > length[at:stop][block[at:stop] == block[to]].max() + 1:
                 break
-            i, j = np.nonzero(left[at:stop] @ right[to:to + TILE].T < 2.5)
+            distance = left[at:stop] @ right[to:to + TILE].T
+            i, j = np.nonzero(distance < 2.5)
+            exact = distance[i, j]
             i, j = i + at, j + to
-            apart = np.abs(length[i] - length[j])
-            fits = (i < j) & (block[i] == block[j]) & (apart < 2) & ((side[i] == 2) | (side[i] != side[j]))
+            between = np.abs(length[i] - length[j])
+            fits = (i < j) & (block[i] == block[j]) & (between < 2) & (exact == 2 - between)
+            fits &= (side[i] == 2) | (side[i] != side[j])
             i, j = i[fits], j[fits]
-            changes = np.abs(table[i] - table[j]).sum(1)
-            fits = changes == 2 - np.abs(length[i] - length[j])
+            fits = _edits_verified(letters, length, words, i, j)
             i, j = i[fits], j[fits]
             fits = signatures.agreed(table[i], table[j]) == choice[i]
-            for a, b in zip(i[fits].tolist(), j[fits].tolist()):
-                if one_edit(words[a], words[b]):
-                    found_a.append(a)
-                    found_b.append(b)
+            found_a += i[fits].tolist()
+            found_b += j[fits].tolist()
     return found_a, found_b
 
 
