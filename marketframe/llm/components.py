@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.workspace import materialized
+from marketframe.workspace import Scratch
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,9 +15,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round links every node's larger neighbours, and then its smaller ones, to the smallest
     neighbour; edges never grow in number, and the rounds grow with the logarithm of the size. Minima
     combine before the shuffle, and joins leave a hub's rows to Spark's splitting of skewed joins.
-    Every round is a written table, so that a lost executor costs one round.
+    Every round is a written table, so that a lost executor costs one round; the one before is removed.
     """
-    edges = materialized(
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "components",
     )
@@ -29,13 +30,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(least, F.col("a") == F.col("n"))
-        edges = materialized(
+        before = edges
+        edges = scratch.table(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct(),
             "components",
         )
+        scratch.drop(before)
         state = edges.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),

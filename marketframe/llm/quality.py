@@ -17,6 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.workspace import materialized
+
+from . import bitmap
 from .weak_labels import VOTES, Reliability, fit
 
 _SPACE = " \t\n\x0b\f\r"
@@ -160,10 +163,20 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is kept, with their columns as they are.
 
     Null, empty and blank texts fail. Repeated rows are judged alike; equal posteriors need no ties;
-    an empty table stays empty. The measures are computed twice (to fit, then to judge) so that no
-    copy of the texts is written.
+    an empty table stays empty. Votes are written once, with the text's hash in place of the text, and
+    fit the model. Rows whose hash is surely not among those of rejected texts (a bitmap of fixed size)
+    are kept as they are; the others, few where few fail, are measured again, so hashes decide nothing.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
-    voted = votes(measures(own, "_text"))
-    judged = judge(voted, estimate(voted))
-    return judged.where("kept").select("_row.*")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    text = F.col(f"`{text_col}`").cast("string")
+    own = docs.select(whole, text.alias("_text"), F.xxhash64(text).alias("_h"))
+    counted = ["n_words", "n_repeat_words", *(f"v_{name}" for name in RULES)]
+    voted = votes(measures(own.select("_h", "_text"), "_text")).select("_h", *counted)
+    voted = materialized(voted, "quality-votes")
+    model = estimate(voted)
+    rejected = judge(voted, model).where("not kept").select("_h")
+    marked = bitmap.mark(own, F.col("_h"), bitmap.build(rejected, "_h"), "_perhaps")
+    again = votes(measures(marked.where("_perhaps").select("_row", "_text"), "_text"))
+    # Below a one-row generator, so that the filter does not evaluate the measures once more.
+    judged = judge(again, model).select("_row", F.explode(F.array("kept")).alias("kept"))
+    return marked.where("not _perhaps").select("_row.*").unionByName(judged.where("kept").select("_row.*"))
