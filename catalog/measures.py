@@ -227,6 +227,23 @@ def _register_buckets() -> None:
 _register_buckets()
 
 
+@query(
+    "ts_ohlc_rollup",
+    f"WITH {EVENT_PRICES} "
+    + " UNION ALL ".join(
+        f"""SELECT ticker, '{unit}' AS unit, date_trunc('{unit}', epoch_ms(ts))::DATE AS bucket,
+       arg_min(value, (ts, pos)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, (ts, pos)) AS close, {sql_rounded('avg(value)')} AS mean, count(*) AS observations
+FROM prices GROUP BY ticker, bucket"""
+        for unit in ("day", "week", "month")
+    ),
+)
+def _(spark, sf_dir):
+    """Days, weeks and months from one state per day, in one pass over the prices."""
+    found = timeseries.rolled_up(timeseries.day_states(event_prices(spark, sf_dir)))
+    return found.withColumn("mean", rounded("mean"))
+
+
 @query(
     "flt_ticker",
     "SELECT 'T' || user_id AS ticker, event_id AS pos, value FROM events WHERE user_id = 7",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe import sinks, sources
+from marketframe import plans, sinks, sources
 from marketframe.operators import shaping
 from marketframe.schemas import PRICE_SCHEMA
 from marketframe.workspace import fresh_path
@@ -42,6 +42,111 @@ def _(spark, sf_dir):
     return companies.select("id", "name", "ticker", "sector", "industry", "description")
 
 
+@query(
+    "src_ndjson_quarantine",
+    """SELECT 'document' AS kind, c_name AS content FROM customer WHERE c_acctbal >= 0
+UNION ALL SELECT 'broken', '{"id": ' || c_custkey || ', "name": "' || c_name FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'broken', c_custkey::VARCHAR FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'documents', (count(*) FILTER (c_acctbal >= 0))::VARCHAR FROM customer
+UNION ALL SELECT 'errors', (count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_mktsegment = 'BUILDING'))::VARCHAR
+FROM customer""",
+)
+def _(spark, sf_dir):
+    """Lines of customers in debt break off, and builders have a bare number as well; neither stops the
+    others, and both counts come from the one scan."""
+    customer = table(spark, sf_dir, "customer")
+    line = F.concat(F.lit('{"id": '), "c_custkey", F.lit(', "name": "'), "c_name")
+    whole = F.when(F.col("c_acctbal") < 0, line).otherwise(F.concat(line, F.lit('"}')))
+    bare = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey").cast("string"))
+    lines = customer.select(F.explode(F.array_compact(F.array(whole, bare))).alias("body"))
+    found = sources.quarantined(spark, written_text(lines, "ndjson"), fresh_path(spark, "quarantine"))
+    counts = [("documents", str(found.counts["documents"])), ("errors", str(found.counts["broken"]))]
+    return (
+        found.companies.select(F.lit("document").alias("kind"), F.col("name").alias("content"))
+        .unionByName(found.broken.select(F.lit("broken").alias("kind"), F.col("body").alias("content")))
+        .unionByName(spark.createDataFrame(counts, "kind string, content string"))
+    )
+
+
+@query(
+    "src_array_split",
+    """SELECT o_orderkey AS id, 'Order "' || o_orderkey || '", }{][' AS name, o_totalprice AS price FROM orders""",
+)
+def _(spark, sf_dir):
+    """All orders as the elements of array files, with braces and quotes in their texts, cut in parallel."""
+    body = F.to_json(
+        F.struct(
+            F.col("o_orderkey").alias("id"),
+            F.concat(F.lit('Order "'), "o_orderkey", F.lit('", }{][')).alias("name"),
+            F.struct(F.array(F.struct(F.col("o_totalprice").alias("value"))).alias("stock_price")).alias("insights"),
+        )
+    )
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("ticker"), body.alias("body"))
+    files = rows.groupBy("ticker").agg(
+        F.concat(F.lit("[ "), F.array_join(F.collect_list("body"), " ,\n"), F.lit("\n]\n")).alias("body")
+    )
+    path = written_text(files, "arrays", by="ticker")
+    docs = sources.read_companies(spark, f"{path}/*", split=True)
+    return shaping.typed_companies(docs).select("id", "name", F.col("insights.stock_price")[0]["value"].alias("price"))
+
+
+def _mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose metrics and further fields are numbers, number-like texts and nested values."""
+    customer = table(spark, sf_dir, "customer")
+    body = F.concat(
+        F.lit('{"id": '), "c_custkey", F.lit(', "name": "'), "c_name", F.lit('", "ticker": "T'), "c_custkey",
+        F.lit('", "aggregations": {"nation": '), "c_nationkey", F.lit(', "code": "'), "c_nationkey",
+        F.lit('", "balance": '), "c_acctbal", F.lit('}, "employees": '), "c_custkey",
+        F.lit(', "listed": true, "office": {"floor": 1, "code": "7"}}'),
+    )
+    return customer.select(body.alias("body"))
+
+
+@query(
+    "snk_json_text",
+    """SELECT '{"id":' || c_custkey || ',"name":"' || c_name || '","ticker":"T' || c_custkey
+       || '","sector":null,"industry":null,"description":null,"indices":[],"exchanges":[],"aggregations":{"balance":'
+       || c_acctbal::VARCHAR || ',"code":"' || c_nationkey || '","nation":' || c_nationkey || '},"lastUpdated":{},"employees":'
+       || c_custkey || ',"listed":true,"office":{"code":"7","floor":1}}' AS value FROM customer""",
+)
+def _(spark, sf_dir):
+    """Documents through the JSON sink, read as plain text: numbers are numbers, texts are texts, and
+    fields that are not known stand where they were."""
+    path = written_text(_mixed_documents(spark, sf_dir), "mixed")
+    companies = shaping.typed_companies(sources.read_companies(spark, path, lines=True))
+    out = fresh_path(spark, "json")
+    sinks.write_json(shaping.company_details(companies), out)
+    return spark.read.text(out)
+
+
+@query(
+    "snk_open_fields",
+    """SELECT format, c_custkey AS id, c_acctbal AS balance, c_nationkey::VARCHAR AS code, c_nationkey::BIGINT AS nation,
+       c_custkey AS employees, true AS listed, '{"code":"7","floor":1}' AS office
+FROM customer, (VALUES ('csv'), ('parquet'), ('sql')) f(format)""",
+)
+def _(spark, sf_dir):
+    """The same documents converted: every field is a column, of the type that holds its values."""
+    path = written_text(_mixed_documents(spark, sf_dir), "mixed")
+    root = fresh_path(spark, "open")
+    plans.convert(shaping.typed_companies(sources.read_companies(spark, path, lines=True)), root)
+    names = ["id", "balance", "code", "nation", "employees", "listed", "office"]
+    parquet = spark.read.parquet(f"{root}/parquet/company_details")
+    csv = spark.read.option("header", True).option("escape", '"').csv(f"{root}/csv/company_details")
+    fields = F.regexp_extract_all("value", F.lit(r"('(?:[^']|'')*'|[^ ,(']+)[,)]"), F.lit(1))
+    statement = spark.read.text(f"{root}/sql/company_details/rows").select(
+        F.split(F.regexp_extract("value", r"\((.*)\) VALUES", 1), ", ").alias("names"),
+        F.expr("regexp_extract(value, '.* VALUES (.*);$', 1)").alias("value"),
+    ).select("names", fields.alias("fields"))
+    value = {n: F.expr(f"""trim(BOTH "'" FROM fields[array_position(names, '"{n}"') - 1])""") for n in names}
+    sql = statement.select(*(value[n].alias(n) for n in names)).withColumn("listed", F.col("listed") == "1")
+    found = None
+    for fmt, rows in (("parquet", parquet), ("csv", csv), ("sql", sql)):
+        typed = rows.select(F.lit(fmt).alias("format"), *(F.col(n).cast(parquet.schema[n].dataType) for n in names))
+        found = typed if found is None else found.unionByName(typed)
+    return found
+
+
 def _supplier_files(spark: SparkSession, sf_dir: str, body) -> str:
     """One file per supplier in a folder of its own, as the per-ticker layout has it."""
     rows = table(spark, sf_dir, "supplier").select(

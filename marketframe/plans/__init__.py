@@ -3,15 +3,21 @@
 from .convert import convert, convert_counts
 from .ingest import Ingested, ingest, normalize_companies, write_ingested
 from .lifecycle import setup, update, update_report
+from .publishing import manifest, publish, published_inventory, read_published, update_published
 
 __all__ = [
     "Ingested",
     "convert",
     "convert_counts",
     "ingest",
+    "manifest",
     "normalize_companies",
+    "publish",
+    "published_inventory",
+    "read_published",
     "setup",
     "update",
+    "update_published",
     "update_report",
     "write_ingested",
 ]

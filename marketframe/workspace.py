@@ -6,6 +6,7 @@ is present. Only a session without it (a test on one machine) gets a temporary l
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,14 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names directly below a path, none if it is not there. Files further down are not listed."""
+    jvm = spark._jvm
+    found = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().globPath(jvm.org.apache.hadoop.fs.Path(f"{path}/*"))
+    # One string for all names: a call for each would cost more than the listing.
+    return [p.rpartition("/")[2] for p in found.mkString("\n").split("\n") if p]
+
+
 class Scratch:
     """Intermediate tables of one operator, which goes on from table to table and removes those that
     nothing will read again."""
@@ -69,6 +78,12 @@ class Scratch:
             _, path = self.paths.pop(id(table))
             removed(self.spark, path)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of queries that nothing refers to any more. It does so when
+        the driver collects garbage, which may be long after an operator of many jobs has filled disks."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop_all_but(self, *tables: DataFrame) -> None:
         kept = {id(t) for t in tables}
         self.drop(*(t for i, (t, _) in list(self.paths.items()) if i not in kept))

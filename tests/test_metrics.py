@@ -286,3 +286,21 @@ def test_ohlc_ignores_the_session_zone(spark, zone):
 
 def test_valid_prices(prices):
     assert valid_prices(prices({"A": [1.0, None, float("nan"), 0.0]})).count() == 2
+
+
+def test_roll_ups_equal_the_single_units_in_one_scan(spark, tmp_path):
+    rows, _ = random_series(9)
+    spark.createDataFrame([r[:2] + ((r[2] or 0) * 86_400,) + r[3:] for r in rows], PRICE_DDL).write.parquet(str(tmp_path / "p"))
+    table = spark.read.schema(PRICE_DDL).parquet(str(tmp_path / "p"))
+    found = timeseries.rolled_up(timeseries.day_states(table))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    for unit in timeseries.UNITS:
+        single = {(r.ticker, r.bucket): r for r in timeseries.ohlc(table, unit).collect()}
+        rows = found.where(F.col("unit") == unit).collect()
+        assert len(rows) == len(single)
+        for r in rows:
+            other = single[r.ticker, r.bucket]
+            assert (r.open, r.high, r.low, r.close, r.observations) == (other.open, other.high, other.low, other.close, other.observations)
+            assert r["mean"] == pytest.approx(other["mean"])
+    with pytest.raises(ValueError):
+        timeseries.rolled_up(timeseries.day_states(table), ["year"])
