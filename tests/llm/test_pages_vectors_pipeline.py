@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
+import time
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from marketframe.llm import html_extract, pivot_search, queries, url_filter
@@ -48,6 +52,92 @@ def test_unmarked_page_by_marginals():
     assert all(0 <= p <= 1 for p in model.marginals(elements))
 
 
+def _trained():
+    training = "<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class=ad>Buy</div><article>" + f"<p>{LONG * 5}</p>" * 4
+    counts = html_extract.training_counts(training + "</article><footer>f</footer>")
+    return html_extract.Model({k: 50 * n for k, n in counts.items()})
+
+
+ARTICLE = "<article>" + f"<p>{LONG * 5}</p>" * 2 + "</article>"
+TEXT = "\n\n".join([(LONG * 5).strip()] * 2)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<body class='single has-sidebar'>{}", "<body class='no-comments'>{}", "<form id='aspnetForm'>{}</form>", "<div class='search-results'>{}</div>",
+     "<svg class='i'/>{}", "<select><option>a<option>b{}", "<noscript>{}", "<p></p><object data=x />{}", "<iframe src=x/>{}",
+     "<body class=x>{}<div class=comments>" + "<article><p>so I say</p></article>" * 3 + "</div>"],
+)
+def test_wrappers_keep_the_article(page):
+    model = _trained()
+    assert model.text("<html>" + page.replace("{}", ARTICLE) + "<nav>menu</nav><footer>foot</footer>") == TEXT
+
+
+def test_main_text_in_a_marked_wrapper_without_articles():
+    page = f"<form id=aspnetForm><div class=menu><a href=x>Home</a></div><div><p>{LONG * 5}</p><p>{LONG * 5}</p></div></form>"
+    assert _trained().text(page) == TEXT
+
+
+def test_objects_in_a_line_do_not_break_it():
+    page = "<article><p>Hello <span class='ad'>x <span>y</span> z</span> world <svg><title>t</title><p>q</p></svg> and <button>b</button> on.</p></article>"
+    assert _trained().text(page) == "Hello world and on."
+    assert _trained().text("<article><p>a < b <3 &lt; c <![CDATA[<d>]]> <!-- x -->e<br>f") == "a < b <3 < c <d> e f"
+
+
+def test_marginals_equal_enumeration():
+    rng = random.Random(3)
+    tags = ["div", "p", "article", "nav", "section", "ul"]
+    for _ in range(60):
+        counts = {f"n|{y}": rng.randint(20, 60) for y in (0, 1)}
+        for name in [*(f"tag={t}" for t in tags), "tag=other", *(f"size={i}" for i in range(8)), "links=0", "ends=none", "ends=stop", "marker=0", "marker=1"]:
+            counts |= {f"{name}|{y}": rng.randint(0, 15) for y in (0, 1)}
+        counts |= {f"edge={g}|{y}": rng.randint(0, 9) for g in ("article", "inner", "outer") for y in (0, 1)}
+        elements = [html_extract.Element("html", -1, False)]
+        for i in range(1, rng.randint(2, 12)):
+            tag = rng.choice(tags)
+            e = html_extract.Element(tag, rng.randrange(i), tag == "nav" or rng.random() < 0.1)
+            e.chars, e.last = rng.choice([(0, ""), (40, "."), (300, ".")])
+            elements.append(e)
+        html_extract._settle(elements)
+        model = html_extract.Model(counts)
+        total, on = 0.0, [0.0] * len(elements)
+        for labels in itertools.product((0, 1), repeat=len(elements) - 1):
+            y = (1, *labels)
+            weight = 1.0
+            for i, e in enumerate(elements):
+                evidence = e.marked and not e.soft
+                if y[i] and evidence or not y[i] and html_extract._is_article(e) or i and y[i] and not y[e.parent]:
+                    weight = 0.0
+                    break
+                weight *= math.exp(model.own(e)[y[i]])
+                if i and y[e.parent] and not evidence:
+                    weight *= math.exp(model.edge(elements[e.parent])[y[i]])
+            total += weight
+            on = [a + weight * b for a, b in zip(on, y)]
+        if total:
+            assert model.marginals(elements) == pytest.approx([a / total for a in on], rel=1e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("unit, times", [("<div>", 50_000), ("<a '", 200_000), ("<a x='", 150_000), ("<a x=\">'", 100_000), ("<!-- ", 200_000),
+                                          ("<select>", 40_000), ("<ul><li>", 30_000), ("<script ", 100_000), ("<span class=ad>", 40_000), ("<", 500_000)])
+def test_odd_markup_is_read_once(unit, times):
+    model = _trained()
+
+    def took(n):
+        begin = time.process_time()
+        model.text(unit * n)
+        return time.process_time() - begin
+
+    assert took(times) < 20 * max(took(times // 10), 0.05)
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "u", ARTICLE, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `row` int, `_html` int, `a.b` int")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "row", "_html", "a.b", "text"] and tuple(got.head())[:5] == (1, "u", 1, 2, 3)
+
+
 def test_url_rules_and_templates(spark):
     urls = [
         None, "", "no scheme", "http://a.NET", "http://a.net/x?y", "HTTP://Www.Example.net/en/1", "http://example.com/de/9", "http://x.org/fr/2#t",
