@@ -1,11 +1,13 @@
 """URL filter by a tree of path templates per host.
 
 A path's segments are first generalised by their form (numbers, hexadecimal and long identifiers,
-with or without a file ending). Then the tree is built level by level over distinct templates, never
+with or without a file ending). Then the tree is built from the top over distinct templates, never
 over single URLs: where a node has many children for its rows they become one wildcard, and children
 whose rate of labelled bad URLs and whose depth do not differ from those of the node's largest child
-are merged into its branch. What is left are templates with counts of labelled URLs; one is rejected
-when the smoothed share of bad ones among its labelled URLs is above the threshold.
+are merged into its branch. Paths go to their real depth; a stretch that all paths of a node share is
+one step, so the rounds are as many as places where paths part. What is left are templates with counts of
+labelled URLs; one is rejected when the smoothed share of bad ones among its labelled URLs is above the
+threshold.
 
 Labels come from the caller: true (bad), false (good) or null (unknown). Rows of one host or template
 are summed before they are shuffled, so a host with a third of all URLs is a few rows.
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 
 from marketframe.workspace import materialized
 
-#: Levels of a tree; deeper segments of a path are one segment, the last.
-DEPTH = 6
 #: A node with at least this many children, and less than this many rows per child, has a wildcard.
 WIDE, ROWS_PER_CHILD = 12, 4
 #: Smoothing: that many bad and good URLs are added to every template.
@@ -47,11 +47,8 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
 
 
 def segments(path: Column) -> Column:
-    """A path's segments, generalised by form, at most ``DEPTH`` of them."""
+    """A path's segments, generalised by form."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    short = F.when(F.size(parts) <= DEPTH, parts).otherwise(
-        F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(DEPTH))), "/")))
-    )
 
     def form(s: Column) -> Column:
         return (
@@ -62,13 +59,26 @@ def segments(path: Column) -> Column:
             .otherwise(s)
         )
 
-    return F.transform(short, form)
+    return F.transform(parts, form)
+
 
+def _skipped(nodes: DataFrame) -> DataFrame:
+    """``nodes`` gone on to where the paths of a template part. What the smallest and the largest of them
+    have in common at the front, all have."""
+    rest = F.slice("segments", F.col("at") + 1, F.size("segments"))
+    ends = nodes.groupBy("host", "template").agg(F.min(rest).alias("low"), F.max(rest).alias("high"))
+    same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
+    parting = F.array_position(same, F.lit(False)).cast("int")
+    shared = ends.select("host", "template", F.when(parting == 0, F.size(same)).otherwise(parting - 1).alias("shared"))
+    joined = nodes.join(shared, ["host", "template"])
+    stretch = F.array_join(F.slice("segments", F.col("at") + 1, F.col("shared")), "/")
+    on = joined.withColumn("template", F.when(F.col("shared") > 0, F.concat("template", F.lit("/"), stretch)).otherwise(F.col("template")))
+    return materialized(on.withColumn("at", F.col("at") + F.col("shared")).select(*nodes.columns), "url-skipped")
 
-def _level(nodes: DataFrame, level: int) -> DataFrame:
-    """``nodes`` with the template's element of one level in place: kept, merged or a wildcard."""
-    at = F.get("segments", F.lit(level))
-    here = nodes.where(F.size("segments") > level).withColumn("child", at)
+
+def _branched(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the template's next element in place: kept, merged or a wildcard."""
+    here = nodes.where(F.size("segments") > F.col("at")).withColumn("child", F.get("segments", F.col("at")))
     depth = F.sum(F.size("segments") * F.col("n")).alias("depth")
     children = materialized(
         here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), depth),
@@ -88,9 +98,11 @@ def _level(nodes: DataFrame, level: int) -> DataFrame:
     )
     element = F.when(wide, F.lit("*")).when(alike & (F.col("m") > 1), F.concat(F.lit("{"), F.col("top.child"), F.lit("}"))).otherwise(F.col("child"))
     named = children.join(parents, ["host", "template"]).select("host", "template", "child", element.alias("element"))
-    grown = here.join(named, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), "element"))
-    ended = nodes.where(F.size("segments") <= level)
-    return materialized(grown.select(*nodes.columns).unionByName(ended), "url-level")
+    grown = here.join(named, ["host", "template", "child"]).withColumns(
+        {"template": F.concat("template", F.lit("/"), "element"), "at": F.col("at") + 1}
+    )
+    ended = nodes.where(F.size("segments") <= F.col("at"))
+    return materialized(grown.select(*nodes.columns).unionByName(ended), "url-branched")
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -99,9 +111,9 @@ def templates(urls: DataFrame) -> DataFrame:
     rows = urls.groupBy("host", segments(F.col("path")).alias("segments")).agg(
         F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label")).alias("bad")
     )
-    nodes = materialized(rows.withColumn("template", F.lit("")), "url-nodes")
-    for level in range(nodes.agg(F.max(F.size("segments"))).first()[0] or 0):
-        nodes = _level(nodes, level)
+    nodes = materialized(rows.withColumns({"template": F.lit(""), "at": F.lit(0)}), "url-nodes")
+    while not nodes.where(F.size("segments") > F.col("at")).isEmpty():
+        nodes = _branched(_skipped(nodes))
     sums = nodes.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + PRIOR_BAD) / (F.col("labelled") + PRIOR_BAD + PRIOR_GOOD)
     return nodes.select("host", "segments", "template").join(sums.withColumn("purity", purity), ["host", "template"])
@@ -127,10 +139,11 @@ def judge(
     alike; an empty table stays empty.
     """
     new = ("host", "path", "rule", "template", "verdict")
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     host, path = host_and_path(url)
-    own = [c for c in pages.columns if c not in new]
-    keyed = pages.select(*(F.col(f"`{c}`") for c in own), host.alias("host"), path.alias("path"))
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in new]
+    # Other columns travel in one struct, so that their names meet none of these.
+    keyed = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path"))
     keyed = keyed.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     verdict = F.lit(None).cast("string")
     for name, rule in rules:
@@ -139,10 +152,10 @@ def judge(
     seeded = F.concat("host", "path").rlike(word)
     label = F.when(verdict == "block", True).when(verdict == "allow", False).when(seeded, True)
     found = templates(keyed.select("host", "path", label.alias("label")))
-    found = materialized(found.select("host", "segments", "template", (F.col("purity") > threshold).alias("_bad")), "url-templates")
+    found = materialized(found.select("host", "segments", "template", (F.col("purity") > threshold).alias("bad")), "url-templates")
     ruled = keyed.where(F.col("rule").isNotNull())
     free = keyed.where(F.col("rule").isNull()).withColumn("segments", segments(F.col("path")))
     met = free.join(found, ["host", "segments"], "left")
-    rest = met.select(*(F.col(f"`{c}`") for c in own), "host", "path", "rule", "template", F.when(F.col("_bad"), "block").otherwise("allow").alias("verdict"))
-    fixed = ruled.select(*(F.col(f"`{c}`") for c in own), "host", "path", "rule", F.lit(None).cast("string").alias("template"), verdict.alias("verdict"))
+    rest = met.select("row.*", "host", "path", "rule", "template", F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
+    fixed = ruled.select("row.*", "host", "path", "rule", F.lit(None).cast("string").alias("template"), verdict.alias("verdict"))
     return fixed.unionByName(rest)

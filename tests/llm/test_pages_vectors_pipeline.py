@@ -157,6 +157,29 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(_pages(spark, []), queries.URL_RULES).count() == 0
 
 
+def test_deep_paths_are_told_apart(spark):
+    deep = "/en/news/2024/05/12"
+    rows = [("h.com", f"{deep}/good/item-{i}-a", None) for i in range(40)] + [("h.com", f"{deep}/bad/item-{i}-b", True) for i in range(60)]
+    rows += [("h.com", f"{deep}/good/x/y/z/{i}/tail", None) for i in range(5)] + [("i.com", "/" + "/".join(f"s{i}" for i in range(400)), None)] * 2
+    rows += [("j.com", f"/a/{'b/' * 60}{i}c/d", None) for i in range(3)] + [("k.com", "", None), ("k.com", "/", None)]
+    found = {tuple(r.segments): r for r in url_filter.templates(spark.createDataFrame(rows, "host string, path string, label boolean")).collect()}
+    by = {}
+    for segments, r in found.items():
+        by.setdefault(segments[5] if len(segments) > 5 else "", []).append(r)
+    assert all(r.purity <= 0.5 for r in by["good"]) and all(r.purity > 0.5 for r in by["bad"])
+    assert len({r.template for r in by["bad"]}) == 1
+    assert found[tuple(f"s{i}" for i in range(400))].template.count("/") == 400
+    assert {r.template for s, r in found.items() if s[-2:] == ("<number>", "tail")} == {"/en/news/<number>/<number>/<number>/good/*/y/z/<number>/tail"}
+    assert found[()].template == "" and found[()].n == 2
+
+
+def test_urls_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", 1, 2, 3, 4)], "page_id long, url string, segments int, `_bad` int, row int, `a.b` int")
+    got = url_filter.judge(df, queries.URL_RULES)
+    assert got.columns == ["page_id", "url", "segments", "_bad", "row", "a.b", "host", "path", "rule", "template", "verdict"]
+    assert tuple(got.head())[2:] == (1, 2, 3, 4, "a.net", "/x", "net/", None, "block")
+
+
 def test_wildcard_template_is_rejected_by_purity(spark):
     rows = [("h.com", f"/a/page{i}x", i < 25 or None) for i in range(40)] + [("h.com", f"/b/page{i}x", None) for i in range(40)]
     found = url_filter.templates(spark.createDataFrame(rows, "host string, path string, label boolean")).collect()
