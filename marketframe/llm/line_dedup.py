@@ -1,13 +1,14 @@
 """Line deduplication over a corpus by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words (lower case, cut at ASCII white space). Equal lines are one
-key. Beyond that, lines of at least ``near_words`` words count as the same when one word replaced,
-inserted or left out leads from one to the other. The line that comes first (smallest document id,
-then line number) stays, every later one goes; shorter lines than ``min_words`` are not touched.
-
-*Deletion neighbourhood.* Of two lines one edit apart, both give the same words once the edited word
-is left out (or one gives the other). So each line sends out a hashed key per left-out word. A key of
-a replacement also names the place, which makes all its lines partners of each other, and a key of an
+Lines are compared as sequences of words (lower case, cut at ASCII white space). Equal lines with a word
+are one key, however short. Beyond that, lines of at least ``near_words`` words count as the same when one
+word replaced, inserted or left out leads from one to the other; lines of fewer words, which also are those
+of scripts that write no blanks, when one character does, if they have ``near_chars`` characters. The line
+that comes first (smallest document id, then line number) stays, every later one goes.
+
+*Deletion neighbourhood.* Of two lines one edit apart, both give the same words (or characters) once the
+edited one is left out (or one gives the other). So each line sends out a hashed key per left-out word. A
+key of a replacement also names the place, which makes all its lines partners of each other, and a key of an
 insertion has one full line, the partner of all others. A group therefore needs its first line only,
 never its pairs. Partners are verified on their words.
 
@@ -37,28 +38,41 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 #: Places are decimals: document id, nine digits of its text's hash, ten digits of the line number.
 _LINE, _TEXT = 10**10, 10**19
+#: Seeds of halves of characters begin here, those of words below.
+_BY_CHARACTER = 1 << 40
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_base``, the place of each row's first line (equal for repeated rows)."""
-    known = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    text = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(10**9))
+    """``(row, text, _base)``: the other columns in one struct, so that their names meet none of these, and
+    the place of each row's first line (equal for repeated rows)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    row = F.struct(*others) if others else F.lit(None)
+    known = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
+    whole = F.col(f"`{text_col}`").cast("string")
+    text = F.pmod(F.xxhash64(whole), F.lit(10**9))
     place = known.cast("decimal(19,0)") * F.expr(f"{_TEXT}BD") + text.cast("decimal(9,0)") * F.expr(f"{_LINE}BD")
-    return docs.withColumn("_base", place.cast("decimal(38,0)"))
+    return docs.select(row.alias("row"), whole.alias("text"), place.cast("decimal(38,0)").alias("_base"))
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r"))), _SPACE)
+def _tokens(line: Column, near_words: int) -> Column:
+    """A line's words, or its characters between two marks (which keep them apart from words) where the words
+    are few."""
+    words = F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r"))), _SPACE)
+    mark = F.array(F.lit("\0"))
+    return F.transform(
+        F.array(words), lambda w: F.when(F.size(w) >= near_words, w).otherwise(F.concat(mark, F.split(F.array_join(w, " "), ""), mark))
+    )[0]
 
 
-def _lines(keyed: DataFrame, text_col: str) -> DataFrame:
-    lines = keyed.select("_base", F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("no", "line"))
+def _lines(keyed: DataFrame) -> DataFrame:
+    lines = keyed.select("_base", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     return lines.select("_base", "no", (F.col("_base") + F.col("no")).cast("decimal(38,0)").alias("place"), "line")
 
 
-def _occurrences(keyed: DataFrame, text_col: str, min_words: int, near_words: int) -> DataFrame:
-    """``(place, h1, h2, half0 .. half3)`` of every line long enough; the halves are null below
-    ``near_words``. Lines leave a task in runs of bounded length, whatever the text."""
+def _occurrences(keyed: DataFrame, near_words: int, near_chars: int) -> DataFrame:
+    """``(place, h1, h2, half0 .. half3)`` of every line with a word; the halves, of its words or else its
+    characters, are null where it is too short for an edit. Lines leave a task in runs of bounded length,
+    whatever the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -78,29 +92,39 @@ def _occurrences(keyed: DataFrame, text_col: str, min_words: int, near_words: in
 
             for row, text in enumerate(batch.column(1)):
                 for no, line in enumerate((text.as_py() or "").lower().encode().split(b"\n")):
+                    if len(rows) >= 50_000:
+                        yield table()
+                        rows, numbers, hashes, short = [], [], [], []
                     w = line.split()  # bytes are cut at ASCII white space
                     n = len(w)
-                    if n < min_words:
+                    if not n:
                         continue
+                    joined = b" ".join(w)
                     rows.append(row)
                     numbers.append(no)
-                    hashes.append(whole(b" ".join(w)))
-                    short.append(n < near_words)
-                    if n < near_words:
-                        hashes.append(bytes(32))
-                    else:
+                    hashes.append(whole(joined))
+                    if n >= near_words:
+                        short.append(False)
                         for length in (n, n - 1):
                             first = length // 2
                             hashes.append(part(b" ".join(w[:first]), 2 * length))
                             hashes.append(part(b" ".join(w[n - length + first:]), 2 * length + 1))
-                    if len(rows) >= 50_000:
-                        yield table()
-                        rows, numbers, hashes, short = [], [], [], []
+                        continue
+                    characters = joined.decode() if len(joined) >= near_chars else ""
+                    n = len(characters)
+                    short.append(n < near_chars)
+                    if n < near_chars:
+                        hashes.append(bytes(32))
+                        continue
+                    for length in (n, n - 1):
+                        first = length // 2
+                        hashes.append(part(characters[:first].encode(), _BY_CHARACTER + 2 * length))
+                        hashes.append(part(characters[n - length + first:].encode(), _BY_CHARACTER + 2 * length + 1))
             if rows:
                 yield table()
 
     kinds = ", ".join(["_base decimal(38,0)", "no int", *(f"{c} long" for c in ("h1", "h2", *_HALVES))])
-    lines = keyed.select("_base", F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
+    lines = keyed.select("_base", "text").mapInArrow(run, kinds)
     return lines.select((F.col("_base") + F.col("no")).cast("decimal(38,0)").alias("place"), "h1", "h2", *_HALVES)
 
 
@@ -167,15 +191,15 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("place", "w", "v").mapInArrow(run, "place decimal(38,0)")
 
 
-def _near(keys: DataFrame, keyed: DataFrame, text_col: str) -> DataFrame:
+def _near(keys: DataFrame, keyed: DataFrame, near_words: int) -> DataFrame:
     """Places of first lines that have an earlier partner one edit away."""
     halves = keys.where(F.col("halves").isNotNull()).select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
     places = materialized(halves.join(shared.select("half"), "half").select(F.col("first").alias("place")).distinct(), "lines-shared")
     base = F.col("place") - F.col("place") % F.expr(f"{_LINE}BD")
     held = bitmap.build(places.select(F.xxhash64(base.cast("decimal(38,0)")).alias("h")), "h")
-    perhaps = bitmap.mark(keyed.select("_base", text_col), F.xxhash64("_base"), held, "_perhaps").where("_perhaps")
-    lines = _lines(perhaps, text_col).join(places, "place").select("place", _words(F.col("line")).alias("w"))
+    perhaps = bitmap.mark(keyed.select("_base", "text"), F.xxhash64("_base"), held, "_perhaps").where("_perhaps")
+    lines = _lines(perhaps).join(places, "place").select("place", _tokens(F.col("line"), near_words).alias("w"))
     lines = materialized(lines.dropDuplicates(["place"]), "lines-texts")
     sent = materialized(_neighbourhood(lines), "lines-keys")
     whole = F.col("role") == "X"
@@ -190,8 +214,8 @@ def _near(keys: DataFrame, keyed: DataFrame, text_col: str) -> DataFrame:
 
 def dedup_lines(
     docs: DataFrame,
-    min_words: int = 5,
     near_words: int = 10,
+    near_chars: int = 20,
     max_edits: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -199,15 +223,16 @@ def dedup_lines(
     """``docs`` with the text left after line deduplication, and ``n_lines``, ``n_removed`` (long).
 
     All rows and other columns stay, whatever their names (only ``n_lines`` and ``n_removed`` are
-    replaced). A null text stays null with 0 lines; an empty one has one line, which is too short to
-    go. A text whose lines all go becomes empty. Repeated rows (same id, same text) count as one and
+    replaced). A null text stays null with 0 lines; lines without a word, such as that of an empty text,
+    never go. A text whose lines all go becomes empty. Repeated rows (same id, same text) count as one and
     come out alike; rows that share an id only are ordered by their text's hash; rows without an id
     come last. ``max_edits`` is 1 or 0.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    keyed = _keyed(docs.drop("n_lines", "n_removed"), id_col, text_col)
-    seen = materialized(_occurrences(keyed, text_col, min_words, near_words), "lines-seen")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = _keyed(docs.select(*(F.col(f"`{c}`") for c in names)), id_col, text_col)
+    seen = materialized(_occurrences(keyed, near_words, near_chars), "lines-seen")
     keys = materialized(
         seen.groupBy("h1", "h2").agg(
             F.min("place").alias("first"), F.count("*").alias("n"),
@@ -216,7 +241,7 @@ def dedup_lines(
         "lines-distinct",
     )
     if max_edits:
-        near = _near(keys, keyed, text_col).select(F.col("place").alias("first"), F.lit(True).alias("near"))
+        near = _near(keys, keyed, near_words).select(F.col("place").alias("first"), F.lit(True).alias("near"))
         judged = keys.select("h1", "h2", "first", "n").join(near, "first", "left")
     else:
         judged = keys.select("h1", "h2", "first", "n", F.lit(None).cast("boolean").alias("near"))
@@ -230,19 +255,18 @@ def dedup_lines(
         "lines-removed",
     )
     marked = bitmap.mark(keyed, F.xxhash64("_base"), bitmap.build(removed.select(F.xxhash64("_base").alias("h")), "h"), "_perhaps")
-    text = F.col(text_col).cast("string")
-    lines = F.split(text, "\n", -1)
+    lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     untouched = marked.where("not _perhaps").withColumn("_gone", F.lit(None).cast("array<int>"))
     touched = marked.where("_perhaps").join(removed, "_base", "left").select(*untouched.columns)
     rest = F.when(
-        F.col("_gone").isNull(), text
+        F.col("_gone").isNull(), F.col("text")
     ).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n"))
-    columns = [F.col(f"`{c}`") if c != text_col else rest.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [F.col("row").getField(c).alias(c) if c != text_col else rest.alias(c) for c in names]
     both = [
         part.withColumn("_lines", lines).select(
             *columns,
-            F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+            F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
             F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
         )
         for part in (untouched, touched)

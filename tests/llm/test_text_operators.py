@@ -110,43 +110,67 @@ def test_lines(docs):
     assert result == sorted(
         [
             (1, f"{line}\nshort one", 3, 1), (2, "own text of this document stays here", 2, 1), (3, "", 2, 2), (4, None, 0, 0),
-            (5, "", 1, 0), (6, "short one", 1, 0), (2, "own text of this document stays here", 2, 1), (None, "", 1, 1),
+            (5, "", 1, 0), (6, "", 1, 1), (2, "own text of this document stays here", 2, 1), (None, "", 1, 1),
         ],
         key=str,
     )
     exact = line_dedup.dedup_lines(docs(rows), max_edits=0)
-    assert {(r.doc_id, r.n_removed) for r in exact.collect()} == {(1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 0), (None, 1)}
+    assert {(r.doc_id, r.n_removed) for r in exact.collect()} == {(1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 1), (None, 1)}
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def _same_line(a: str, b: str) -> bool:
+    v, w = a.lower().split(), b.lower().split()
+    if v == w:
+        return bool(w)
+    if min(len(v), len(w)) >= 10:
+        return line_dedup.within_one_edit(v, w)
+    x, y = " ".join(v), " ".join(w)
+    return max(len(v), len(w)) < 10 and min(len(x), len(y)) >= 20 and line_dedup.within_one_edit(list(x), list(y))
+
+
 def test_lines_equal_brute_force(docs):
     rng = random.Random(11)
-    seeds = [[rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(4, 13))] for _ in range(12)]
+    seeds = [[rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(1, 13))] for _ in range(12)]
+    seeds += [["".join(rng.choices("本日語中文的一是", k=rng.randint(15, 30)))] for _ in range(5)]
+    seeds += [[rng.choice(["some", "words", "of", "length", "🙂"]) for _ in range(rng.randint(4, 7))] for _ in range(5)]
+    seeds += [list("abcdefghijklmnopqrstuv"), ["abcdefghijklmnopqrstuv"]]
 
     def varied():
         w = list(rng.choice(seeds))
         for _ in range(rng.randint(0, 2)):
             at = rng.randrange(len(w))
-            w[at:at + rng.randint(0, 1)] = rng.choice([[], ["É"], [w[at]], ["x", "y"]])
+            if rng.random() < 0.5:
+                w[at:at + rng.randint(0, 1)] = rng.choice([[], ["É"], [w[at]], ["x", "y"]])
+            else:
+                letters = list(w[at])
+                place = rng.randrange(len(letters))
+                letters[place:place + rng.randint(0, 1)] = rng.choice([[], ["É"], ["本"], [letters[place]]])
+                w[at] = "".join(letters) or "z"
+            if not w:
+                return " \t"
         return "  ".join(w) if rng.random() < 0.2 else " ".join(w)
 
-    rows = [(i, "\n".join(varied() for _ in range(rng.randint(0, 9)))) for i in range(60)]
-    earlier: list[list[str]] = []
+    rows = [(i, "\n".join(varied() for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    earlier: list[str] = []
     expected = {}
     for i, text in rows:
         kept = []
         for line in text.split("\n"):
-            w = line.lower().split()
-            gone = len(w) >= 5 and any(
-                v == w or min(len(v), len(w)) >= 10 and line_dedup.within_one_edit(v, w) for v in earlier
-            )
-            earlier.append(w)
-            if not gone:
+            if not any(_same_line(v, line) for v in earlier):
                 kept.append(line)
+            earlier.append(line)
         expected[i] = "\n".join(kept)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()} == expected
 
 
+def test_lines_with_clashing_columns(spark):
+    ddl = "doc_id long, text string, `row` int, `_base` string, `_lines` int, `_slot` int, `_gone` int, `a.b` int, n_lines string"
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, "a line\na line", 1, "b", 2, 3, 4, 5, "n"), (2, "A  line", 6, "c", 7, 8, 9, 10, "m")], ddl))
+    assert got.columns == ["doc_id", "text", "row", "_base", "_lines", "_slot", "_gone", "a.b", "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a line", 1, "b", 2, 3, 4, 5, 2, 1), (2, "", 6, "c", 7, 8, 9, 10, 1, 1)]
+
+
 def test_within_one_edit():
     def distance(a, b):
         table = list(range(len(b) + 1))
