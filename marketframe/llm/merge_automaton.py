@@ -183,7 +183,7 @@ class Automaton:
 
 
 class TextEncoder:
-    """Ids of texts (little-endian unsigned 32-bit) and their labels, for one tokenizer file."""
+    """Ids of texts (little-endian unsigned 32-bit), for one tokenizer file."""
 
     def __init__(self, path: str):
         import regex
@@ -197,8 +197,6 @@ class TextEncoder:
         self.matches, self.plain = regex.compile(pattern).findall, regex.compile(_PLAIN).fullmatch
         self.byte = {c: b for b, c in enumerate(byte_letters())}
         self.automaton = Automaton(held["model"]["vocab"], [(a, b) for a, b in held["model"]["merges"]])
-        labels = {i: t for t, i in held["model"]["vocab"].items()} | {t["id"]: t["content"] for t in held["added_tokens"]}
-        self.labels = pa.array([labels.get(i) for i in range(max(labels) + 1)], pa.string())
         self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in held["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split
         self.words: dict[bytes, bytes] = {}
@@ -243,6 +241,14 @@ class TextEncoder:
         return b"".join(self.special[p] if i % 2 else self._segment(p) for i, p in enumerate(parts))
 
 
+def arc_labels(path: str) -> pa.Array:
+    """What the arc of each id is labelled with, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    labels = {i: t for t, i in held["model"]["vocab"].items()} | {t["id"]: t["content"] for t in held["added_tokens"]}
+    return pa.array([labels.get(i) for i in range(max(labels) + 1)], pa.string())
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
@@ -280,7 +286,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     kept = [f.name for f in encoded.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = encoder(tokenizer).labels
+        labels = arc_labels(tokenizer)
         for whole in batches:
             ids = whole.column("ids")
             for begin, stop in blocks(("" if i is None else i for i in ids.to_pylist()), 2 * BLOCK_CHARS):
