@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.workspace import materialized
+from marketframe.workspace import Scratch
 
 from . import bitmap
 
@@ -191,17 +191,17 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("place", "w", "v").mapInArrow(run, "place decimal(38,0)")
 
 
-def _near(keys: DataFrame, keyed: DataFrame, near_words: int) -> DataFrame:
+def _near(keys: DataFrame, keyed: DataFrame, near_words: int, scratch: Scratch) -> DataFrame:
     """Places of first lines that have an earlier partner one edit away."""
     halves = keys.where(F.col("halves").isNotNull()).select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi")
-    places = materialized(halves.join(shared.select("half"), "half").select(F.col("first").alias("place")).distinct(), "lines-shared")
+    places = scratch.table(halves.join(shared.select("half"), "half").select(F.col("first").alias("place")).distinct(), "lines-shared")
     base = F.col("place") - F.col("place") % F.expr(f"{_LINE}BD")
     held = bitmap.build(places.select(F.xxhash64(base.cast("decimal(38,0)")).alias("h")), "h")
     perhaps = bitmap.mark(keyed.select("_base", "text"), F.xxhash64("_base"), held, "_perhaps").where("_perhaps")
     lines = _lines(perhaps).join(places, "place").select("place", _tokens(F.col("line"), near_words).alias("w"))
-    lines = materialized(lines.dropDuplicates(["place"]), "lines-texts")
-    sent = materialized(_neighbourhood(lines), "lines-keys")
+    lines = scratch.table(lines.dropDuplicates(["place"]), "lines-texts")
+    sent = scratch.table(_neighbourhood(lines), "lines-keys")
     whole = F.col("role") == "X"
     met = sent.groupBy("key").agg(
         F.min(F.when(whole, F.col("place"))).alias("full"), F.min(F.when(~whole, F.col("place"))).alias("other"), F.count("*").alias("n")
@@ -226,14 +226,15 @@ def dedup_lines(
     replaced). A null text stays null with 0 lines; lines without a word, such as that of an empty text,
     never go. A text whose lines all go becomes empty. Repeated rows (same id, same text) count as one and
     come out alike; rows that share an id only are ordered by their text's hash; rows without an id
-    come last. ``max_edits`` is 1 or 0.
+    come last. ``max_edits`` is 1 or 0. Intermediate tables are removed, but for the one the result reads.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    scratch = Scratch(docs.sparkSession)
     keyed = _keyed(docs.select(*(F.col(f"`{c}`") for c in names)), id_col, text_col)
-    seen = materialized(_occurrences(keyed, near_words, near_chars), "lines-seen")
-    keys = materialized(
+    seen = scratch.table(_occurrences(keyed, near_words, near_chars), "lines-seen")
+    keys = scratch.table(
         seen.groupBy("h1", "h2").agg(
             F.min("place").alias("first"), F.count("*").alias("n"),
             *(F.min(half).alias(half) for half in _HALVES),
@@ -241,19 +242,21 @@ def dedup_lines(
         "lines-distinct",
     )
     if max_edits:
-        near = _near(keys, keyed, near_words).select(F.col("place").alias("first"), F.lit(True).alias("near"))
+        near = _near(keys, keyed, near_words, scratch).select(F.col("place").alias("first"), F.lit(True).alias("near"))
         judged = keys.select("h1", "h2", "first", "n").join(near, "first", "left")
     else:
         judged = keys.select("h1", "h2", "first", "n", F.lit(None).cast("boolean").alias("near"))
     judged = judged.where("n > 1 or near is not null").select("h1", "h2", "first", "near")
     gone = seen.select("h1", "h2", "place").join(judged, ["h1", "h2"]).where("near is not null or place > first")
     no = F.col("place") % F.expr(f"{_LINE}BD")
-    removed = materialized(
+    removed = scratch.table(
         gone.select((F.col("place") - no).cast("decimal(38,0)").alias("_base"), no.cast("int").alias("no"))
         .groupBy("_base")
         .agg(F.collect_set("no").alias("_gone")),
         "lines-removed",
     )
+    scratch.drop_all_but(removed)
+    scratch.sweep()
     marked = bitmap.mark(keyed, F.xxhash64("_base"), bitmap.build(removed.select(F.xxhash64("_base").alias("h")), "h"), "_perhaps")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
