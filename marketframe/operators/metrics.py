@@ -14,6 +14,11 @@ from .series import HOT_ROWS, TAIL_GROUPS, running, short_series, tail, with_dra
 # Trading days in a year, default number of observations.
 TRADING_DAYS = 252
 DEFAULT_HORIZON = 63
+# The reasons for a report without metrics.
+UNKNOWN_TICKER = "Ticker not found"
+NO_DATASET = "Stock price data not found"
+NO_POINTS = "No stock price data available"
+NO_VALID_POINTS = "No valid price data found"
 
 
 def _volatility() -> Column:
@@ -119,10 +124,10 @@ def metrics_report(
         missing = F.lit(False)
     report = report.join(_counted_metrics(asked(prices), horizon), "ticker", "left")
     error = (
-        F.when(F.col("known").isNull(), "Ticker not found")
-        .when(missing, "Stock price data not found")
-        .when(F.col("observations").isNull(), "No stock price data available")
-        .when(F.col("observations") == 0, "No valid price data found")
+        F.when(F.col("known").isNull(), UNKNOWN_TICKER)
+        .when(missing, NO_DATASET)
+        .when(F.col("observations").isNull(), NO_POINTS)
+        .when(F.col("observations") == 0, NO_VALID_POINTS)
     )
     report = report.withColumn("error", error)
     good = F.col("error").isNull()

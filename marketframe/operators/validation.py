@@ -17,6 +17,10 @@ ERROR_COLUMNS = ("source", "ticker", "position", "error")
 
 # Fixed value: what a ticker may look like under the business rules.
 TICKER_PATTERN = r"^[A-Z][A-Z0-9.\-]{0,9}$"
+# How the messages on repeats and on absent files begin.
+DUPLICATE_ID = "Duplicate id detected: "
+DUPLICATE_TICKER = "Duplicate ticker detected: "
+NO_FILE = "JSON file not found for ticker "
 # How the kind of a JSON root is named in an error.
 ROOT_NAMES = {
     "string": "str",
@@ -179,7 +183,7 @@ def missing_datasets(requested: DataFrame, existing: DataFrame) -> DataFrame:
     )
     return absent.select(
         "ticker",
-        F.concat(F.lit("JSON file not found for ticker "), F.col("ticker")).alias("error"),
+        F.concat(F.lit(NO_FILE), F.col("ticker")).alias("error"),
     )
 
 
@@ -219,14 +223,14 @@ def repeats(rows: DataFrame, key: str) -> DataFrame:
 def duplicate_ids(mapping: DataFrame) -> DataFrame:
     found = repeats(mapping.select("pos", "id"), "id")
     shown = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    return found.select("pos", F.concat(F.lit("Duplicate id detected: "), shown).alias("error"))
+    return found.select("pos", F.concat(F.lit(DUPLICATE_ID), shown).alias("error"))
 
 
 def duplicate_tickers(mapping: DataFrame) -> DataFrame:
     rows = mapping.select("pos", canonical_ticker(F.col("ticker")).alias("ticker"))
     found = repeats(rows, "ticker")
     shown = F.coalesce("ticker", F.lit("null"))
-    return found.select("pos", F.concat(F.lit("Duplicate ticker detected: "), shown).alias("error"))
+    return found.select("pos", F.concat(F.lit(DUPLICATE_TICKER), shown).alias("error"))
 
 
 def mapping_errors(entries_: DataFrame) -> DataFrame:

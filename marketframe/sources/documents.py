@@ -13,6 +13,10 @@ from ..functions.variants import elements, entries, kept_fraction, member
 from ..schemas import DOCUMENT_SCHEMA, EXTRA, POSITIONED_PRICE_SCHEMA
 from .arrays import array_elements
 
+# Fixed value: how the error about a document that is no object begins.
+UNEXPECTED = "Unexpected JSON structure: "
+
+
 def _laid_out_by_ticker(spark: SparkSession, paths: list[str]) -> bool:
     return "ticker" in spark.read.text(paths).columns
 
@@ -86,7 +90,7 @@ def read_companies(
     object stops the job (``quarantined`` goes on); a missing path fails at once.
     """
     docs = parsed_documents(document_bodies(spark, path, lines, split))
-    problem = F.concat(F.lit("Unexpected JSON structure: "), "broken")
+    problem = F.concat(F.lit(UNEXPECTED), "broken")
     sound = docs.where(F.when(F.col("broken").isNotNull(), F.raise_error(problem)).otherwise(F.lit(True)))
     by_folder = "ticker" in docs.columns
     found = shredded(sound.withColumnRenamed("ticker", "_folder") if by_folder else sound).drop("broken")

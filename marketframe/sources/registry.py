@@ -10,11 +10,15 @@ from ..functions.variants import elements, member, string_of
 from ..schemas import MAPPING_SCHEMA
 
 
+# Fixed value: the error for a registry of another shape.
+NO_ARRAY = "Mapping file must contain a JSON array"
+
+
 def read_mapping_entries(spark: SparkSession, path: str) -> DataFrame:
     """Raw registry entries ``(pos, entry VARIANT)`` in file order; anything but an array fails."""
     root = elements(F.try_parse_json("value"))
     checked = F.when(
-        root.isNull(), F.raise_error(F.lit("Mapping file must contain a JSON array"))
+        root.isNull(), F.raise_error(F.lit(NO_ARRAY))
     ).otherwise(root)
     return (
         spark.read.text(path, wholetext=True)

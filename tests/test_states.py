@@ -35,8 +35,7 @@ def _rows(seed, low=0.0):
     return rows, expected
 
 
-@pytest.mark.parametrize("hot_rows", [7, 10**6, None])
-@pytest.mark.parametrize("unit", ["day", "month", "year"])
+@pytest.mark.parametrize("unit, hot_rows", [("day", 7), ("month", 10**6), ("year", 7), ("year", None)])
 def test_states_give_the_metrics(spark, unit, hot_rows):
     rows, expected = _rows(1)
     table = spark.createDataFrame(rows, PRICE_DDL).repartition(5)
@@ -108,8 +107,7 @@ def test_empty_prices_have_no_states(spark):
         states.metric_states(empty, "hour")
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10**6, None])
-@pytest.mark.parametrize("size", [1, 2, 7, 60, 1000])
+@pytest.mark.parametrize("size, hot_rows", [(1, 40), (2, None), (7, 40), (60, 10**6), (60, 40), (1000, None)])
 def test_blocks_equal_sliding_frames(spark, monkeypatch, size, hot_rows):
     rows, _ = random_series(size)
     rows += [(1, "GAPS", i, None if i % 3 else 1.5, 0, "USD", i) for i in range(30)]
