@@ -133,16 +133,16 @@ def _last(rows: DataFrame, n: int, *keys: str, order: str = _LATEST_FIRST) -> Da
     return rows.selectExpr("*", from_end).where(f"_from_end <= {n}").drop("_from_end")
 
 
-def _grouped_last(prices: DataFrame, n: int, order: str = _LATEST_FIRST) -> DataFrame:
+def _grouped_last(prices: DataFrame, n: int, **how: str) -> DataFrame:
     """The last ``n`` points per ticker, by way of those of each group of map tasks."""
     grouped = prices.withColumn("_tasks", F.spark_partition_id() % TAIL_GROUPS)
-    return _last(_last(grouped, n, "ticker", "_tasks", order=order).drop("_tasks"), n, "ticker", order=order)
+    return _last(_last(grouped, n, "ticker", "_tasks", **how).drop("_tasks"), n, "ticker", **how)
 
 
 def short_series(prices: DataFrame, n: int) -> DataFrame:
     """The last ``n`` points with a value per ticker as ``running`` gives them, and, of tickers short of
     ``n``, points without one before them: every ticker with any point has a row. One pass."""
-    return _grouped_last(prices, n, _BLANKS_LAST).selectExpr("*", *_running_columns("ticker", _BLANKS_FIRST))
+    return _grouped_last(prices, n, order=_BLANKS_LAST).selectExpr("*", *_running_columns("ticker", _BLANKS_FIRST))
 
 
 def tail(prices: DataFrame, n: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
