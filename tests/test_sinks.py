@@ -124,3 +124,12 @@ def test_only_asked_formats_are_written(spark, tmp_path, sample_companies):
     convert(sample_companies, str(tmp_path / "out"), formats=("csv",))
     assert (tmp_path / "out" / "csv").exists()
     assert not (tmp_path / "out" / "parquet").exists() and not (tmp_path / "out" / "sql").exists()
+
+
+def test_folders_are_spread_over_tasks(spark, tmp_path, prices):
+    path = tmp_path / "p"
+    sinks.write_parquet(prices({f"T{i}": [1.0] for i in range(40)}), str(path), by_ticker=True)
+    parts = list(path.rglob("part-*.parquet"))
+    assert len(parts) == 40
+    assert len({p.name.split("-")[1] for p in parts}) == 4  # one task per shuffle partition, though the rows are few
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
