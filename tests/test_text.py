@@ -97,3 +97,35 @@ def test_sql_literal(spark):
         "1.5", "NULL", "NULL", "NULL",
     ]
     assert apply(spark, lambda c: sql_literal(c, T.LongType()), [5, None], "bigint") == ["5", "NULL"]
+
+
+def test_negative_zero_keeps_its_sign_through_json(spark):
+    from marketframe.functions.variants import parsed_json
+
+    cases = {
+        '{"a":-0.0}': '{"a":-0.0}',
+        '{"a":[-0.00, 0.0,-0.05,-10.0],"b":"-0.0"}': '{"a":[-0.0,0,-0.05,-10],"b":"-0.0"}',
+        '{"t":"x\\" -0.0 \\\\","n":-0.0,"m":-0.0e0}': '{"m":-0.0,"n":-0.0,"t":"x\\" -0.0 \\\\"}',
+        '{"broken":-0.0': None,
+        "-0.0": "-0.0",
+        "-0.0x": None,
+        '{"long":"' + "y-" * 50_000 + '","n":' + "[-0.0]}": '{"long":"' + "y-" * 50_000 + '","n":[-0.0]}',
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "body string")
+    for row in rows.select("body", F.to_json(parsed_json(F.col("body"))).alias("back")).collect():
+        assert row.back == cases[row.body]
+
+
+def test_queries_keep_negative_zero(spark, tmp_path):
+    from tests import oracle
+
+    for name in oracle.TABLES:
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "customer":
+            rows = rows.withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.lit(-0.0)).otherwise(F.col("c_acctbal")))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    connection = oracle.duckdb.connect()
+    for name in oracle.TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("prj_stringify_nested", "snk_json_text", "snk_sql_rows"):
+        assert oracle.compare(spark, connection, str(tmp_path), name) is None, name
