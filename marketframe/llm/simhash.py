@@ -22,7 +22,7 @@ with a number of rows that is linear in the members. Nothing is dropped; only th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +43,30 @@ STRANGERS = 16
 _LOW = 0x5555555555555555
 
 
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a shorter text is one shingle, a text without words has none."""
+    import xxhash
+
+    parts = text.encode().lower().split() if text else []
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    last = ends[min(words, len(parts)) - 1:]
+    first = np.concatenate([[0], ends[:len(last) - 1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[i:j], seed) for i, j in zip(first.tolist(), last.tolist())], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed long; 0 without hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        some = hashes[at:at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(
     docs: DataFrame, words: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -52,28 +76,9 @@ def fingerprints(
     A shorter text is one shingle; a text without words, or null, has fingerprint 0.
     """
 
-    def fingerprint(text: str | None) -> int:
-        import xxhash
-
-        parts = text.encode().lower().split() if text else []
-        if not parts:
-            return 0
-        joined = b" ".join(parts)
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        last = ends[min(words, len(parts)) - 1:]
-        first = np.concatenate([[0], ends[:len(last) - 1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], seed) for i, j in zip(first.tolist(), last.tolist())]
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 8192):
-            some = np.array(hashes[at:at + 8192], "<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        packed = np.packbits(2 * ones > len(hashes), bitorder="little")
-        return int(packed.view("<i8")[0])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
+            fps = [fingerprint(shingle_hashes(t.as_py(), words, seed)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -105,9 +110,10 @@ def grid(n: int, max_bits: int) -> int:
     return 2 * max_bits + 4
 
 
-def links(nodes: DataFrame, n: int, max_bits: int = 4, crowded: int = CROWDED) -> DataFrame:
+def links(nodes: DataFrame, n: int, max_bits: int = 4, crowded: int = CROWDED, table: Callable = materialized) -> DataFrame:
     """``(a, b)``: enough pairs of distinct fingerprints ``fp`` at most ``max_bits`` apart to connect
-    all that are linked; ``n`` is their number (it sets the grid, not the result)."""
+    all that are linked; ``n`` is their number (it sets the grid, not the result), ``table`` writes an
+    intermediate table."""
     if max_bits % 2:
         raise ValueError("the bound on differing bits must be even")
     groups = grid(n, max_bits)
@@ -122,7 +128,7 @@ def links(nodes: DataFrame, n: int, max_bits: int = 4, crowded: int = CROWDED) -
     vectors = nodes.select("fp", counts(F.col("fp")).alias("counts"))
     placed = vectors.select("fp", "counts", cells.alias("key")).select("fp", "counts", "key.choice", "key.cell")
     sizes = placed.groupBy("choice", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = materialized(sizes, "simhash-cells")
+    sizes = table(sizes, "simhash-cells")
     small = placed.join(sizes.where(F.col("size") <= crowded), ["choice", "cell"]).select("choice", "cell", "fp", "counts")
     left, right = (small.select("choice", "cell", F.col("fp").alias(f), F.col("counts").alias(c)) for f, c in ("ax", "by"))
     pairs = (
