@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that become much more work than their bytes show: a file of one scan task, over all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def ticker(key: str | Column) -> Column:
     return F.concat(F.lit("T"), F.col(key) if isinstance(key, str) else key)
 
@@ -87,7 +92,7 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Metrics differ from record to record (``acctbal`` or ``debt``), a description is there only for
     some, and the ticker needs canonical form.
     """
-    customer = table(spark, sf_dir, "customer")
+    customer = spread(table(spark, sf_dir, "customer"), "c_custkey")
     nation = table(spark, sf_dir, "nation")
     joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     balance = F.col("c_acctbal")

@@ -5,6 +5,8 @@ import json
 import sqlite3
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from marketframe import sinks
 from marketframe.operators import shaping
 from marketframe.plans import convert
@@ -142,3 +144,10 @@ def test_files_of_suppliers_are_written_by_several_tasks(spark):
     parts = [p for p in Path(path.removeprefix("file:")).rglob("part-*") if not p.name.endswith(".crc")]
     folders = {p.parent.name for p in parts}
     assert len(parts) == len(folders) > 1 and len({p.name.split("-")[1] for p in parts}) > 1
+
+
+def test_customer_documents_are_made_by_several_tasks(spark):
+    from catalog.tables import customer_documents
+
+    rows = customer_documents(spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
