@@ -6,6 +6,9 @@ more keys than bits it lets everything pass, which costs speed and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def mark(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str) -> DataFra
         .withColumn(name, bit)
         .drop("_slot", "_position", "_bucket", "_bits", "_byte")
     )
+
+
+def tester(bitmap: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """What ``mark`` does, for arrays of hashes (signed longs) in Python tasks. The filter, 8 MiB at most, goes to
+    them over the driver."""
+    bits = np.zeros((BITS // _ROW_BITS + 1, _ROW_BITS // 8), np.uint8)
+    for row in bitmap.collect():
+        bits[row.bucket] = np.frombuffer(row.bits, np.uint8)
+    bits = bits.ravel()
+
+    def perhaps(hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & (BITS - 1)
+        # Spark puts slot 0 into a bucket of its own; the others follow from the next bucket on.
+        at = np.where(slot > 0, slot + (_ROW_BITS - 1), 0)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return perhaps
