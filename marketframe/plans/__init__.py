@@ -3,7 +3,7 @@
 from .convert import convert, convert_counts
 from .ingest import Ingested, ingest, normalize_companies, write_ingested
 from .lifecycle import setup, update, update_report
-from .publishing import manifest, publish, published_inventory, read_published, update_published
+from .publishing import manifest, publish, published_inventory, read_published, update_published, write_run
 
 __all__ = [
     "Ingested",
@@ -20,4 +20,5 @@ __all__ = [
     "update_published",
     "update_report",
     "write_ingested",
+    "write_run",
 ]

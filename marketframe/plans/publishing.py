@@ -3,7 +3,8 @@
 A run writes its companies and prices, in every format, below a folder of its own. Nothing reads that
 folder until the run is published: a manifest ``(ticker, run)`` says in which run's folder each ticker
 stands, and a new version of it, written whole, replaces the one before. A run that dies between two
-formats leaves files that no manifest names, so every reader still sees the state before it.
+formats leaves files that no manifest names, so every reader still sees the state before it. Since the
+manifest says which tickers of a run count, a run is written whole, without a folder for every ticker.
 """
 
 from __future__ import annotations
@@ -47,6 +48,24 @@ def publish(spark: SparkSession, root: str, run: int, tickers: DataFrame) -> Non
     new.write.mode("errorifexists").parquet(f"{root}/manifest/version={version}")
 
 
+def write_run(
+    responses: DataFrame,
+    mapping: DataFrame,
+    root: str,
+    requests: DataFrame | None = None,
+    resume: bool = False,
+    validate: bool = True,
+) -> tuple[int, DataFrame]:
+    """``plans.update`` into the next run's folder, which nothing reads before ``publish``. Returns the
+    run's number and the report."""
+    spark = responses.sparkSession
+    runs = [int(n.partition("=")[2]) for n in folder_names(spark, f"{root}/runs") if n.startswith("run=")]
+    run = max(runs, default=0) + 1
+    existing = manifest(spark, root) if resume else None
+    report = update(responses, mapping, f"{root}/runs/run={run}", existing, validate, requests=requests, alone=True)
+    return run, report
+
+
 def update_published(
     responses: DataFrame,
     mapping: DataFrame,
@@ -55,17 +74,13 @@ def update_published(
     resume: bool = False,
     validate: bool = True,
 ) -> DataFrame:
-    """``plans.update`` into a run folder of its own, published when all formats are there.
+    """A run (``write_run``), published when all formats are there.
 
     ``resume`` passes over tickers that the manifest has. Returns the report.
     """
     spark = responses.sparkSession
-    runs = [int(n.partition("=")[2]) for n in folder_names(spark, f"{root}/runs") if n.startswith("run=")]
-    run = max(runs, default=0) + 1
-    place = f"{root}/runs/run={run}"
-    existing = manifest(spark, root) if resume else None
-    report = update(responses, mapping, place, existing, validate, by_ticker=True, requests=requests)
-    log = spark.read.schema("ticker string, status string, error string").parquet(f"{place}/log")
+    run, report = write_run(responses, mapping, root, requests, resume, validate)
+    log = spark.read.schema("ticker string, status string, error string").parquet(f"{root}/runs/run={run}/log")
     publish(spark, root, run, log.where("status = 'fetched'"))
     return report
 
@@ -74,7 +89,7 @@ def read_published(
     spark: SparkSession, root: str, read: Callable[[str], DataFrame], wanted: DataFrame | None = None
 ) -> DataFrame | None:
     """One dataset over all runs: ``read`` gets a run's folder, and of its rows those count that stand
-    there by the manifest (and are ``wanted``). Folders of superseded tickers are not opened. None when
+    there by the manifest (and are ``wanted``). Runs without any such ticker are not opened. None when
     nothing is published; few runs are live at a time, since a full update supersedes all before it."""
     known = manifest(spark, root)
     if wanted is not None:

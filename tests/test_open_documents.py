@@ -174,6 +174,23 @@ def test_a_run_that_dies_between_formats_changes_nothing(spark, tmp_path, monkey
     assert {r.ticker for r in publishing.published_inventory(spark, root)["sql"].collect()} == {"A", "B", "D"}
 
 
+def test_published_runs_make_no_folder_for_each_ticker(spark, tmp_path):
+    from catalog import QUERIES
+
+    found = QUERIES["lif_published_prices"](spark, "/root/testdata/sf0.001")
+    assert found.count() and not [name for name in found.inputFiles() if "ticker=" in name]
+    root = str(tmp_path / "out")
+    answers = landed(spark, A=envelope({"insights": {"stock_price": [{"ts": 1, "value": 1}]}}), B="{}")
+    run, report = publishing.write_run(answers, mapping(spark, "A", "B"), root)
+    assert run == 1 and {(r.step, r.item): r.n for r in report.collect()}[("ingest", "errors")] == 1
+    for fmt in ("json", "csv", "parquet", "sql/company_details/rows"):
+        assert (tmp_path / "out" / "runs" / "run=1" / fmt).exists()
+    assert _prices(spark, root, "json") is None
+    again, _ = publishing.write_run(answers, mapping(spark, "A", "B"), root, requests=spark.createDataFrame([(0, "a", "")], "pos long, ticker string, name string"))
+    publishing.publish(spark, root, again, spark.createDataFrame([("A",)], "ticker string"))
+    assert again == 2 and all(_prices(spark, root, fmt) == [("A", 1.0)] for fmt in ("json", "csv", "parquet"))
+
+
 def test_an_unfinished_manifest_is_passed_over(spark, tmp_path):
     root = str(tmp_path / "out")
     tickers = spark.createDataFrame([("A",)], "ticker string")
