@@ -131,6 +131,27 @@ def test_arrays_are_parsed_by_many_tasks(spark, write):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_chunks_of_a_split_change_no_element(spark, write, monkeypatch, bits):
+    """No window spans a whole split; strings, objects and the ends of files go over the borders of chunks."""
+    from marketframe.sources import arrays
+
+    names = ["a}{", 'q"}\\', "]}[{", "", "\\\\}", "é}\n"]
+    items = [{"id": i, "name": names[i % 6] * (i % 4), "more": {"deep": [{"x": "}"}] * (i % 3)}} for i in range(50)]
+    paths = [
+        write("a/list.json", "[ " + ",\n".join(json.dumps(x) for x in items) + "\n]\n"),
+        write("a/one.json", json.dumps(items[5], indent=1)),
+        write("a/open.json", json.dumps(items[:7])[:-1]),
+        write("a/none.json", "[]"),
+    ]
+    monkeypatch.setattr(arrays, "CHUNK_BITS", bits)
+    found = arrays.array_elements(spark, paths).collect()
+    by_file = {}
+    for r in sorted(found, key=lambda r: r.element):
+        by_file.setdefault(r.source_path.rsplit("/", 1)[1], []).append(json.loads(r.body))
+    assert by_file == {"list.json": items, "one.json": [items[5]], "open.json": items[:7]}
+
+
 @pytest.mark.parametrize("body", ["[1, 2]", '[{"id": 1}, 5, {"id": 2}]', '{"id": 1', '"text"', '[{"id": 1}'])
 def test_split_finds_what_is_no_document(spark, write, body):
     docs = sources.read_companies(spark, write("c.json", body), split=True)
