@@ -25,6 +25,20 @@ def _ask(spark, *tickers):
     return spark.createDataFrame([(t,) for t in tickers], "ticker string")
 
 
+def test_folders_are_listed_by_few_tasks(spark, tmp_path, prices):
+    path = str(tmp_path / "many")  # more folders than Spark lists on the driver
+    write_parquet(prices({f"T{i}": [1.0] for i in range(40)}), path, by_ticker=True)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("listing", "")
+    try:
+        assert read_prices(spark, path).columns[-1] == "ticker"
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert [s.numTasks for s in stages] == [4]  # spark.sql.shuffle.partitions, not one for each folder
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
 def test_few_tickers_become_a_predicate(spark, laid_out):
     narrow = selection.narrowing(_ask(spark, "T03", "T07", None, "T07"))
     found = narrow(read_prices(spark, laid_out))
